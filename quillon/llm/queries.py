@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, langid, ordering, packing, secrets, simhash, toxicity, warc
+from . import ann, decontaminate, langid, ordering, packing, secrets, simhash, substrings, toxicity, warc
 from .common import table
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.digest(table(spark, sf_dir, "embeddings"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_nearest": op7_nearest,
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -61,4 +66,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_warc": warc.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op6_substring_dedup": substrings.ORACLE,
 }
