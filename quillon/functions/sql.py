@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from . import arrays
 
@@ -47,7 +47,7 @@ def _nearest():
 
         @staticmethod
         def analyze(rows: AnalyzeArgument, q: AnalyzeArgument, k: AnalyzeArgument) -> AnalyzeResult:
-            return AnalyzeResult(schema=StructType.fromDDL("vec_id long, dist double"))
+            return AnalyzeResult(schema=StructType().add("vec_id", LongType()).add("dist", DoubleType()))
 
         def eval(self, row, q, k: int):
             self.k = k
