@@ -34,7 +34,7 @@ from .common import columns, small_batches, written
 
 LEAST, GRAM = 50, 20
 WINDOW = LEAST - GRAM + 1
-UNIT_BYTES, BUCKET_BYTES, BLOCK_BYTES, SLICE = 4 << 20, 8 << 20, 1 << 19, 1 << 20
+UNIT_BYTES, BUCKET_BYTES, BLOCK_BYTES, SLICE = 4 << 20, 4 << 20, 1 << 18, 1 << 18
 #: Runs of an anchor in the corpus beyond which they are sent string by string.
 FREQUENT = 2000
 U = np.uint64
@@ -47,6 +47,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one range after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class Unit:
     """The documents of a unit: ids, known (whether the id is not null), bytes one after another."""
 
@@ -106,12 +111,10 @@ class Unit:
         if often.any():
             whole, cut = ({k: v[x] for k, v in r.items()} for x in (~often, often))
             n = cut["windows"]
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(cut["start"], n) + inside
-            x = self.bytes[start[:, None] + np.arange(LEAST)].astype(U)
+            start = ranges(cut["start"], n)
             h = np.zeros(len(start), U)
             for c in range(LEAST):
-                h = (h ^ x[:, c]) * _P[c % 6]
+                h = (h ^ self.bytes[start + c].astype(U)) * _P[c % 6]
                 h ^= h >> U(31)
             single = {"start": start, "windows": np.ones(len(start), np.int64), "anchor": _mixed(h), "doc": np.repeat(cut["doc"], n), "hash": h}
             r = {k: np.concatenate([whole[k], single[k]]) for k in whole}
@@ -305,9 +308,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", un
             lead = lead[np.argsort(r["anchor"][lead], kind="stable")]
             for k, at in _split(r["anchor"][lead] >> shift, 1 << bits):
                 x = lead[at]
-                size = r["windows"][x] + LEAST - 1
-                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                text = u.bytes[np.repeat(r["start"][x], size) + inside]
+                text = u.bytes[ranges(r["start"][x], r["windows"][x] + LEAST - 1)]
                 head = np.array([len(x)], np.int64)
                 rows.append((row.unit, k, zstandard.compress(b"".join(a.tobytes() for a in (head, r["anchor"][x], r["hash"][x], r["windows"][x], r["id"][x], x, text)), 1)))
         return pd.DataFrame(rows, columns=["unit", "bucket", "data"])
@@ -333,8 +334,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", un
             x = cuts[k] + np.flatnonzero(some[cuts[k] : cuts[k + 1]])
             if len(x):
                 n = windows[x]
-                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                flags = np.packbits(found[np.repeat(base[x], n) + inside])
+                flags = np.packbits(found[ranges(base[x], n)])
                 rows.append((int(unit), -1, np.array([len(x)], np.int64).tobytes() + place[x].tobytes() + n.tobytes() + flags.tobytes()))
         return pd.DataFrame(rows, columns=["unit", "bucket", "data"])
 
@@ -342,7 +342,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", un
         rows = []
         for row in unit.itertuples(index=False):
             u = Unit.of(row)
-            cover = np.zeros(len(u.bytes) + 1, np.int32)
+            begins = np.zeros(len(u.bytes), np.bool_)
             r = u.sent(*known(links[links["bucket"] >= 0]), bits)
             if len(r["lead"]):
                 n = r["windows"]
@@ -351,20 +351,15 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", un
                 for data in links.loc[links["bucket"] < 0, "data"]:
                     m = int(np.frombuffer(data, np.int64, 1)[0])
                     place, size = np.frombuffer(data, np.int64, m, 8), np.frombuffer(data, np.int64, m, 8 + 8 * m)
-                    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    flags[np.repeat(base[place], size) + inside] = np.unpackbits(np.frombuffer(data, np.uint8, offset=8 + 16 * m), count=int(size.sum()))
-                lead, each = r["lead"], np.repeat(np.arange(len(n)), n)
-                inside = np.arange(len(flags)) - base[each]
-                flags = np.where((r["id"] > r["id"][lead])[each], True, flags[base[lead[each]] + inside])
-                at = (r["start"][each] + inside)[flags]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + LEAST, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            edge = np.diff(np.r_[0, gone.astype(np.int8), 0])
+                    flags[ranges(base[place], size)] = np.unpackbits(np.frombuffer(data, np.uint8, offset=8 + 16 * m), count=int(size.sum()))
+                lead = r["lead"]
+                begins[ranges(r["start"], n)] = np.where(np.repeat(r["id"] > r["id"][lead], n), True, flags[ranges(base[lead], n)])
+            place = np.arange(len(begins), dtype=np.int32)
+            gone = place - np.maximum.accumulate(np.where(begins, place, np.int32(-LEAST))) < LEAST if len(begins) else begins
             for doc, is_known, s, e in zip(u.ids, u.known, u.starts, u.ends, strict=True):
                 g = gone[s:e]
                 removed = int(g.sum())
-                d = np.diff(np.r_[0, g.astype(np.int8), 0]) if removed else edge[:0]
+                d = np.diff(np.r_[0, g.astype(np.int8), 0]) if removed else np.zeros(0, np.int8)
                 kept = u.bytes[s:e][~g].tobytes() if removed else u.data[s:e]
                 more = (np.stack([np.flatnonzero(d == 1), np.flatnonzero(d == -1)], axis=1).ravel().astype(np.int32), kept) if with_spans else ()
                 rows.append((int(doc) if is_known else None, int(e - s), removed, int((d == 1).sum()), hashlib.sha256(kept).hexdigest(), *more))
