@@ -36,6 +36,10 @@ from .common import columns, fresh_dir, small_batches, written
 
 END = 50256
 CHUNK = 256
+#: Tasks of the first step up to which their bases, 12 bytes each, are broadcast; beyond, they are joined by a shuffle.
+MOST_TASKS = 1_000_000
+#: Ids of one chunk help to compress the single sequences on their way to the shards.
+DICTIONARY_BYTES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -133,10 +137,14 @@ def materialise(docs: DataFrame, folder: str, *, key: int, length: int = 2048, s
     layout = Layout(folder, total, length, max(1, shard_bytes // (2 * length)))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task of the first step
     bases = per.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if per.count() <= MOST_TASKS:
+        bases = F.broadcast(bases)
+    first = held.select("ids").first()
+    words = zstandard.decompress(first["ids"])[:DICTIONARY_BYTES] if first else b""
     order = Permutation(total, key)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         for batch in batches:
             for r in batch.itertuples(index=False):
                 ids = np.frombuffer(unpack.decompress(r.ids), "<u2").reshape(-1, length)
@@ -148,7 +156,7 @@ def materialise(docs: DataFrame, folder: str, *, key: int, length: int = 2048, s
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = pafs.FileSystem.from_uri(folder)
-        unpack, out, at = zstandard.ZstdDecompressor(), None, None
+        unpack, out, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)), None, None
         shard, attempt = None, TaskContext.get().taskAttemptId()
         for batch in batches:
             rows = []
