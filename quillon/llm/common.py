@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = getattr(shared_dir, "own", None)
         if d is None:
-            d = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quillon-")
+            own = tempfile.mkdtemp(prefix="quillon-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            d = shared_dir.own = f"file://{own}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
