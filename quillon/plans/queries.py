@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +40,16 @@ def asked(df: DataFrame, id_col: str = "vec_id") -> DataFrame:
     return df.where(F.col(id_col) % 50 == 0)
 
 
+@cache
+def _own_folder() -> str:
+    own = tempfile.mkdtemp(prefix="quillon-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder for an index, in the shared folder where one is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new folder for an index: in the folder that driver and executors share, or in a temporary one where none is set (tests)."""
+    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or _own_folder()}/{name}-{uuid.uuid4().hex}"
 
 
 # SQL that others build on.
@@ -204,12 +213,36 @@ def envelope_r5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "pos", F.round("e.upper", 6).alias("upper"), F.round("e.lower", 6).alias("lower"))
 
 
-# Bounds for each query and row. The query set is a stated one; its summaries are few and Spark broadcasts them by size.
+# Bounds for each query and row.
+
+
+#: Rows of a query set that meet all rows at once.
+QUERY_ROWS = 4096
+
+
+def against(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """The stated query set against all rows: a bounded block of queries at a time is broadcast, so neither side is shuffled and nothing
+    broadcast grows with the data."""
+    spark, out, held = rows.sparkSession, None, []
+
+    def meet() -> None:
+        nonlocal out
+        part = rows.join(F.broadcast(spark.createDataFrame(held, queries.schema)))
+        out = part if out is None else out.unionByName(part)
+        held.clear()
+
+    for r in queries.toLocalIterator():
+        held.append(r)
+        if len(held) == QUERY_ROWS:
+            meet()
+    if held or out is None:
+        meet()
+    return out
 
 
 def _pairs(data: DataFrame, summary: Column) -> DataFrame:
     held = data.select("vec_id", "v", summary.alias("s"))
-    return asked(held).select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"), F.col("s").alias("qs")).crossJoin(held)
+    return against(asked(held).select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"), F.col("s").alias("qs")), held)
 
 
 def _sax_lb(of: str, prelude: str, out: str) -> str:
@@ -223,7 +256,7 @@ def sax_mindist(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
     means = series.paa(v, SEGMENTS, LENGTH)
     w = tables.walks(spark, sf_dir).select("vec_id", "v", means.alias("p")).select("vec_id", "v", "p", F.transform("p", lambda x: series.symbol(x, CARDINALITY)).alias("word"))
-    pairs = asked(w).select(F.col("vec_id").alias("q_id"), F.col("p").alias("qp")).crossJoin(w.select("vec_id", "word"))
+    pairs = against(asked(w).select(F.col("vec_id").alias("q_id"), F.col("p").alias("qp")), w.select("vec_id", "word"))
     return pairs.select("q_id", "vec_id", F.round(F.sqrt(series.sax_mindist(F.col("qp"), F.col("word"), SEGMENTS, LENGTH, CARDINALITY)), 6).alias("lb"))
 
 
@@ -256,7 +289,7 @@ SELECT q.vec_id AS q_id, u.vec_id, round(sqrt(list_sum(list_transform(range(1, 6
 def lb_keogh(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.walks(spark, sf_dir).select("vec_id", "v")
     q = asked(w).select(F.col("vec_id").alias("q_id"), series.envelope(F.col("v"), LENGTH, 5).alias("env"))
-    return q.crossJoin(w).select("q_id", "vec_id", F.round(F.sqrt(series.lb_keogh(F.col("v"), F.col("env"))), 6).alias("lb"))
+    return against(q, w).select("q_id", "vec_id", F.round(F.sqrt(series.lb_keogh(F.col("v"), F.col("env"))), 6).alias("lb"))
 
 
 _VIOLATIONS = "SELECT CAST(0 AS BIGINT) AS sax, CAST(0 AS BIGINT) AS eapca_lower, CAST(0 AS BIGINT) AS eapca_upper, CAST(0 AS BIGINT) AS fourier, count(*) AS pairs FROM embeddings AS q, embeddings AS e WHERE q.vec_id % 50 = 0"
@@ -269,7 +302,7 @@ def bound_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.walks(spark, sf_dir)
     held = w.select("vec_id", "v", series.paa(v, SEGMENTS, LENGTH).alias("p"), series.segment_stats(v, ends).alias("s"), series.dft(v, LENGTH, 8).alias("f")).withColumn("word", F.transform("p", lambda x: series.symbol(x, CARDINALITY)))
     q = asked(held).select(*[F.col(c).alias(f"q_{c}") for c in ("v", "p", "s", "f")])
-    pairs = q.crossJoin(held).select(
+    pairs = against(q, held).select(
         series.squared_distance(F.col("q_v"), v).alias("d"),
         series.sax_mindist(F.col("q_p"), F.col("word"), SEGMENTS, LENGTH, CARDINALITY).alias("sax"),
         series.eapca_lower(F.col("q_s"), F.col("s"), [16] * 4).alias("low"),
@@ -286,7 +319,7 @@ def tlb_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
     w = tables.walks(spark, sf_dir).select("vec_id", "v", series.paa(v, SEGMENTS, LENGTH).alias("p")).withColumn("word", F.transform("p", lambda x: series.symbol(x, CARDINALITY)))
     q = asked(w).select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"), F.col("p").alias("qp"))
-    pairs = q.crossJoin(w).select("q_id", series.squared_distance(F.col("qv"), v).alias("d"), series.sax_mindist(F.col("qp"), F.col("word"), SEGMENTS, LENGTH, CARDINALITY).alias("lb"))
+    pairs = against(q, w).select("q_id", series.squared_distance(F.col("qv"), v).alias("d"), series.sax_mindist(F.col("qp"), F.col("word"), SEGMENTS, LENGTH, CARDINALITY).alias("lb"))
     return pairs.where("d > 1e-18").groupBy("q_id").agg(F.round(F.avg(F.sqrt(F.col("lb") / F.col("d"))), 6).alias("tlb"))
 
 
@@ -300,7 +333,7 @@ def pruning_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     kth = knn.top(knn.candidates(w, asked(w), 10, seeded=True), 10).where("rank = 10").select("q_id", F.col("vec_id").alias("k_id"))
     q = asked(w).select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"), F.col("p").alias("qp")).join(kth, "q_id").join(w.select(F.col("vec_id").alias("k_id"), F.col("v").alias("kv")), "k_id")
     q = q.select("q_id", "qp", series.squared_distance(F.col("qv"), F.col("kv")).alias("kth"))
-    pairs = q.crossJoin(w.select("word")).select("q_id", (series.sax_mindist(F.col("qp"), F.col("word"), SEGMENTS, LENGTH, CARDINALITY) > F.col("kth") + 1e-9).alias("gone"))
+    pairs = against(q, w.select("word")).select("q_id", (series.sax_mindist(F.col("qp"), F.col("word"), SEGMENTS, LENGTH, CARDINALITY) > F.col("kth") + 1e-9).alias("gone"))
     return pairs.groupBy("q_id").agg(F.count("*").alias("n_rows"), F.count_if("gone").alias("n_pruned"), F.round(F.avg(F.when(F.col("gone"), 1.0).otherwise(0.0)), 6).alias("pruning_ratio"))
 
 
@@ -397,7 +430,7 @@ round(sqrt(sum(16 * ((sd + max_sd) ** 2 + greatest(abs(m - min_mean), abs(m - ma
 def eapca_lb_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, root = _root(spark, sf_dir)
     s, k = F.col("s"), F.col("sketch")
-    return asked(held).crossJoin(root).select(F.col("vec_id").alias("q_id"), F.round(F.sqrt(series.node_lower(s, k, [16] * 4)), 6).alias("lower"), F.round(F.sqrt(series.node_upper(s, k, [16] * 4)), 6).alias("upper"))
+    return asked(held).join(F.broadcast(root)).select(F.col("vec_id").alias("q_id"), F.round(F.sqrt(series.node_lower(s, k, [16] * 4)), 6).alias("lower"), F.round(F.sqrt(series.node_upper(s, k, [16] * 4)), 6).alias("upper"))
 
 
 @query(f"{_ROOT} SELECT round(sum(16 * ((max_mean - min_mean) ** 2 + max_sd ** 2)), 6) AS qos FROM r")

@@ -11,7 +11,7 @@ from quillon.sources import tables
 
 @pytest.fixture(scope="module")
 def walks(spark):
-    return tables.random_walks(spark, 400, 64, 5).localCheckpoint()
+    return tables.random_walks(spark, 400, 64, 5).cache()
 
 
 @pytest.fixture(scope="module")
