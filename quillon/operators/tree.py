@@ -1,9 +1,12 @@
 """A binary tree over segment statistics, built level by level, and searches that leave out leaves by their bounds.
 
-Building: every level is one pass over the data. Tasks route their rows through the tree so far, and send, for each leaf that may be too
+Building: every upper level is one pass over the data. Tasks route their rows through the tree so far, and send, for each leaf that may be too
 large, the extremes of mean and deviation of its segments and half-segments; a shuffle combines them and the driver decides the splits.
 What reaches the driver is a few rows a leaf, and there are about rows / leaf_size leaves, whatever a row holds.
 
+Once a leaf's rows are few enough for one task (``LOCAL_NUMBERS``), its subtree is finished there, all such leaves after one shuffle; the
+tree is the same. So passes grow with the logarithm of rows / task, not of rows / leaf.
+
 A leaf over ``leaf_size`` splits by the statistic (mean or deviation) of the segment that promises the largest fall of looseness, at the
 middle of its range; a half-segment needs more than twice the benefit of the best whole one, and cuts the segment in two from there on.
 A leaf that no statistic can part (equal series) stays as it is.
@@ -13,8 +16,9 @@ The index is two Parquet tables: nodes, and series sorted by leaf, so that a fil
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -25,6 +29,10 @@ from ..functions import arrays
 from . import knn
 
 
+#: Numbers (8 bytes each) of a leaf's rows that one task finishes.
+LOCAL_NUMBERS = 4_000_000
+
+
 @dataclass
 class Node:
     id: int
@@ -99,18 +107,45 @@ def choose(node: Node, stats: dict[tuple[int, int], tuple[float, float, float, f
     return (best[1], node.ends) if best[1] else None
 
 
+def measured(x: np.ndarray, ends: list[int]) -> dict[tuple[int, int], tuple[float, float, float, float]]:
+    """Extremes of mean and deviation of the segments and half-segments of the rows of x."""
+    cuts, out = [0, *ends], {}
+    for a, b in dict.fromkeys([*zip(cuts[:-1], cuts[1:], strict=True), *halves(ends)]):
+        m, s = x[:, a:b].mean(axis=1), x[:, a:b].std(axis=1)
+        out[a, b] = (float(m.max()), float(m.min()), float(s.max()), float(s.min()))
+    return out
+
+
+def grown(node: Node, x: np.ndarray, leaf_size: int, most_levels: int) -> list[Node]:
+    """The subtree of a leaf whose rows are all here."""
+    out, todo = [], [(node, x)]
+    while todo:
+        n, rows = todo.pop()
+        stats, cuts = measured(rows, n.ends), [0, *n.ends]
+        n.size, n.split = len(rows), None
+        n.sketch = np.array([stats[s] for s in zip(cuts[:-1], cuts[1:], strict=True)])
+        out.append(n)
+        if n.size > leaf_size and n.level < most_levels and (found := choose(n, stats)):
+            n.split, ends = found
+            start, end, which, threshold = n.split
+            part = rows[:, start:end]
+            low = (part.std(axis=1) if which else part.mean(axis=1)) < threshold
+            todo += [(Node(2 * n.id, n.level + 1, list(ends), n.id), rows[low]), (Node(2 * n.id + 1, n.level + 1, list(ends), n.id), rows[~low])]
+    return out
+
+
 def _rows(data: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return data.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
 
-def build(data: DataFrame, leaf_size: int, *, segments: int = 1, id_col: str = "vec_id", vector_col: str = "v", most_levels: int = 60) -> Tree:
-    """One pass a level; see above."""
+def build(data: DataFrame, leaf_size: int, *, segments: int = 1, id_col: str = "vec_id", vector_col: str = "v", most_levels: int = 60, local_numbers: int = LOCAL_NUMBERS) -> Tree:
+    """See above. local_numbers: the most numbers in a leaf that one task finishes."""
     rows = _rows(data, id_col, vector_col)
     first = rows.select(F.size("v").alias("n")).first()
     length = first["n"] if first else 0
     step = max(1, length // segments)
     tree = Tree(length, leaf_size, {1: Node(1, 0, [step * (i + 1) for i in range(segments - 1)] + [length])})
-    open_ = {1}
+    open_, local = {1}, set()
     for level in range(most_levels + 1):
         if not open_ or not length:
             break
@@ -128,12 +163,9 @@ def build(data: DataFrame, leaf_size: int, *, segments: int = 1, id_col: str = "
                 for at in np.unique(leaf):
                     if at not in asked:
                         continue
-                    part, node = x[leaf == at], held.nodes[at]
-                    cuts = [0, *node.ends]
-                    for a, b in dict.fromkeys([*zip(cuts[:-1], cuts[1:], strict=True), *halves(node.ends)]):
-                        m, s = part[:, a:b].mean(axis=1), part[:, a:b].std(axis=1)
-                        now = np.array([m.max(), -m.min(), s.max(), -s.min(), 0])
-                        old = seen.get((at, a, b))
+                    part = x[leaf == at]
+                    for (a, b), (top, low, wide, narrow) in measured(part, held.nodes[at].ends).items():
+                        now, old = np.array([top, -low, wide, -narrow, 0]), seen.get((at, a, b))
                         now = now if old is None else np.maximum(now, old)
                         now[4] = len(part) + (0 if old is None else old[4])
                         seen[at, a, b] = now
@@ -152,12 +184,33 @@ def build(data: DataFrame, leaf_size: int, *, segments: int = 1, id_col: str = "
                 continue
             cuts = [0, *node.ends]
             node.sketch = np.array([stats[s] for s in zip(cuts[:-1], cuts[1:], strict=True)])
-            if node.size > leaf_size and level < most_levels and (found_split := choose(node, stats)):
+            if leaf_size < node.size <= local_numbers // length and level < most_levels:
+                local.add(at)
+            elif node.size > leaf_size and level < most_levels and (found_split := choose(node, stats)):
                 node.split, ends = found_split
                 for child in (2 * at, 2 * at + 1):
                     tree.nodes[child] = Node(child, level + 1, list(ends), at)
                     after.add(child)
         open_ = after
+    if local:
+        shared = rows.sparkSession.sparkContext.broadcast((tree, local))
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, wanted = shared.value
+            for batch in batches:
+                batch = batch.dropna()
+                if len(batch):
+                    leaf = held.route(np.stack(batch["v"].to_numpy()))
+                    mine = np.isin(leaf, list(wanted))
+                    yield pd.DataFrame({"leaf_id": leaf[mine], "v": batch["v"].to_numpy()[mine]})
+
+        def finish(group: pd.DataFrame) -> pd.DataFrame:
+            held = shared.value[0].nodes[int(group["leaf_id"].iloc[0])]
+            nodes = grown(replace(held), np.stack(group["v"].to_numpy()), leaf_size, most_levels)
+            return pd.DataFrame({"nodes": [pickle.dumps(nodes)]})
+
+        for r in rows.mapInPandas(place, "leaf_id long, v array<double>").groupBy("leaf_id").applyInPandas(finish, "nodes binary").toLocalIterator():
+            tree.nodes |= {n.id: n for n in pickle.loads(r["nodes"])}
     return tree
 
 

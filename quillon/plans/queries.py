@@ -52,6 +52,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or _own_folder()}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once: what several passes read should not be derived in each."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # SQL that others build on.
 E_ = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _Z = "{to} AS (SELECT vec_id, label, CASE WHEN s > 1e-12 THEN list_transform(v, lambda x: (x - m) / s) ELSE list_transform(v, lambda x: 0.0) END AS v FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: (x - m) * (x - m))) / len(v)) AS s FROM (SELECT *, list_sum(v) / len(v) AS m FROM {of})))"
@@ -342,7 +349,7 @@ def pruning_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _refine(summary: Callable[[DataFrame], knn.Summary]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = tables.walks(spark, sf_dir)
+        w = kept(tables.walks(spark, sf_dir), "walks")
         return knn.knn_join(w, asked(w), 10, summary=summary(w))
 
     return run
@@ -360,7 +367,7 @@ for _name, _summary in {
 
 def _index(spark: SparkSession, sf_dir: str, leaf_size: int = 64) -> tuple[DataFrame, DataFrame, tree.Tree]:
     """Data, series of the written index, tree."""
-    w = tables.walks(spark, sf_dir)
+    w = kept(tables.walks(spark, sf_dir), "walks")
     path = shared_path(spark, "tree")
     tree.write(w, tree.build(w, leaf_size, segments=4), path)
     held, found = tree.read(spark, path, leaf_size)
@@ -548,7 +555,7 @@ SELECT CAST(q_id AS BIGINT) AS q_id, CAST(vec_id AS BIGINT) AS vec_id, CAST(rank
 
 def _derived(load: Query, k: int, every: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        z = tables.normalised(load(spark, sf_dir)).withColumnRenamed("series_id", "vec_id")
+        z = kept(tables.normalised(load(spark, sf_dir)).withColumnRenamed("series_id", "vec_id"), "series")
         return knn.knn_join(z, z.where(F.col("vec_id") % every == 0), k, summary=knn.FourierSummary(8))
 
     return run

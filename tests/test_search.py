@@ -83,6 +83,17 @@ def test_tree_search_is_exact_and_its_bounds_hold(walks, matrix, index):
     assert sum(n.size for n in leaves) == 400 and max(n.size for n in leaves) <= 40
 
 
+def test_leaves_finished_in_one_task_give_the_same_tree(walks):
+    trees = [tree.build(walks, 20, segments=2, local_numbers=n) for n in (0, 64 * 100, tree.LOCAL_NUMBERS)]
+    for t in trees[1:]:
+        assert t.nodes.keys() == trees[0].nodes.keys()
+        for at, n in t.nodes.items():
+            m = trees[0].nodes[at]
+            assert (n.size, n.ends, n.level, n.parent) == (m.size, m.ends, m.level, m.parent)
+            assert (n.split is None) == (m.split is None) and (n.split is None or np.allclose(n.split, m.split))
+            assert np.allclose(n.sketch, m.sketch)
+
+
 def test_approximate_answers_are_real_and_no_nearer_than_exact(walks, matrix, index):
     held, built = index
     want = brute(matrix, QUERIES, 5)
