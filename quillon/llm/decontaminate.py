@@ -100,6 +100,29 @@ def _automaton(key: tuple, items: list[tuple[str, str]], width: int) -> Automato
     return _cache[key]
 
 
+def _marker(key: tuple, shared, width: int):
+    """(texts, what is found so far) -> what is found with the items of this block too."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton(key, shared.value, width)
+        for texts, before in batches:
+            rows = []
+            for text, runs, names in zip(texts, before["runs"], before["items"], strict=True):
+                n, hits = automaton.find(text)
+                runs = np.asarray(runs, np.int64).reshape(-1, 2)
+                spans: list[int] = []
+                if hits or len(runs):
+                    both = merged([*map(tuple, runs.tolist()), *((s, e) for s, e, _ in hits)])
+                    at = word_offsets(text)
+                    spans = [x for s, e in both for x in (at[s][0], at[e - 1][1])]
+                    rows.append((n, [x for r in both for x in r], spans, sorted({*names, *(i for *_, many in hits for i in many)})))
+                else:
+                    rows.append((n, [], spans, []))
+            yield pd.DataFrame(rows, columns=["n_words", "runs", "spans", "items"])
+
+    return run
+
+
 def mark(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, max_automaton_chars: int = MAX_AUTOMATON_CHARS) -> DataFrame:
     """docs with a struct column ``found``: n_words, runs (first and end word, flat, merged), spans (start and end code point in the
     original, flat), items (sorted as strings). A column of docs named ``found`` is replaced."""
@@ -116,24 +139,7 @@ def mark(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col:
         key = (width, hashlib.sha256(repr(part).encode()).hexdigest())
         shared = spark.sparkContext.broadcast(part)
 
-        def run(batches: Iterator[tuple[pd.Series, pd.DataFrame]], key=key, shared=shared) -> Iterator[pd.DataFrame]:
-            automaton = _automaton(key, shared.value, width)
-            for texts, before in batches:
-                rows = []
-                for text, runs, names in zip(texts, before["runs"], before["items"], strict=True):
-                    n, hits = automaton.find(text)
-                    runs = np.asarray(runs, np.int64).reshape(-1, 2)
-                    spans: list[int] = []
-                    if hits or len(runs):
-                        both = merged([*map(tuple, runs.tolist()), *((s, e) for s, e, _ in hits)])
-                        at = word_offsets(text)
-                        spans = [x for s, e in both for x in (at[s][0], at[e - 1][1])]
-                        rows.append((n, [x for r in both for x in r], spans, sorted({*names, *(i for *_, many in hits for i in many)})))
-                    else:
-                        rows.append((n, [], spans, []))
-                yield pd.DataFrame(rows, columns=["n_words", "runs", "spans", "items"])
-
-        found = F.pandas_udf(run, kind, functionType=F.PandasUDFType.SCALAR_ITER)
+        found = F.pandas_udf(_marker(key, shared, width), kind)
         out = out.withColumn("found", found(F.col(f"`{text_col}`"), F.col("found")))
         if block + 1 < blocks:
             out = written(out, "decontaminate")

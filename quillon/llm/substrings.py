@@ -86,7 +86,8 @@ class Unit:
             new = good & np.r_[True, (m[1:] != m[:-1]) | ~good[:-1]]
             start = np.flatnonzero(new)
             stop = np.flatnonzero(good & np.r_[~good[1:] | new[1:], True]) + 1
-            part = {"start": at + start, "windows": stop - start, "anchor": m[start], "doc": doc[start]}
+            # A least hash is small, so it is mixed again (one to one): buckets are upper bits, and must be even.
+            part = {"start": at + start, "windows": stop - start, "anchor": _mixed(m[start]), "doc": doc[start]}
             if hashed:
                 power = np.full(len(h4), _BASE, U)
                 power[0] = 1
