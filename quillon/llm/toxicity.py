@@ -9,7 +9,7 @@ text are scored, however long it is.
 Training is multiple-instance: every window of a clean document is clean, of a toxic document the worst window is toxic. Labels are
 noisy: words are hidden at random, and from the third epoch on toxic labels of texts that score low are left out. It runs on the driver
 on a bounded sample of labelled rows: at most ``max_train_docs`` of them, chosen by the hash of the id. Only those ids
-(a proven bound) are broadcast to find their texts. The network has some 200,000 numbers, whatever the size of the corpus; scoring is one
+(a proven bound) are broadcast to find their texts. The network has some 900,000 numbers, whatever the size of the corpus; scoring is one
 narrow stage.
 
 Defined results: null and empty texts have no words and get the score of an empty window, which is trained as clean; repeated rows are
@@ -39,8 +39,8 @@ class Settings:
     #: The bound of the sample that the network is fitted on, in documents and in bytes of text.
     max_train_docs: int = 4000
     max_train_bytes: int = 24_000_000
-    words: int = 1 << 13
-    grams: int = 1 << 12
+    words: int = 1 << 16
+    grams: int = 1 << 13
     inputs: int = 12
     hidden: int = 8
     width: int = 32
