@@ -491,26 +491,26 @@ def va_ng(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def isax_home_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_home_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.walks(spark, sf_dir)
     return words.home_leaf_join(w, asked(w), words.build(w, 64), 10)
 
 
 @query()
-def isax_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = words.build(tables.walks(spark, sf_dir), 64)
     rows = [(n.id, list(n.bits), list(n.values), n.size) for n in found.nodes.values() if n.cut is None]
     return spark.createDataFrame(rows, "leaf_id long, bits array<int>, prefix array<int>, size long")
 
 
 @query()
-def isax_wedges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_wedges(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.walks(spark, sf_dir)
     return words.envelopes(words.assigned(w, words.build(w, 64)))
 
 
 @query(f"WITH {W_}, {_word('w', 2)} SELECT CAST(list_sum(list_transform(range(0, 16), lambda i: word[i + 1] * (2 ** (15 - i)))) AS BIGINT) AS mask, count(*) AS n FROM x GROUP BY 1")
-def isax_root_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def root_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.walks(spark, sf_dir)
     return w.groupBy(series.root_mask(series.sax(F.col("v"), SEGMENTS, LENGTH, 2), 1).alias("mask")).agg(F.count("*").alias("n"))
 
