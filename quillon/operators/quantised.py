@@ -47,6 +47,13 @@ def equidepth(coefs: DataFrame, bits: list[int]) -> DataFrame:
     return rows.join(F.broadcast(table), ["dim", "i"]).select("dim", "border", "x")
 
 
+def equiwidth(coefs: DataFrame, cells: int) -> DataFrame:
+    """dim, border, x: the inner borders of cells of equal width between the extremes of each dimension."""
+    ends = coefs.groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    rows = ends.select("dim", "low", "high", F.explode(F.sequence(F.lit(1), F.lit(cells - 1))).alias("border"))
+    return rows.select("dim", "border", (F.col("low") + (F.col("high") - F.col("low")) * F.col("border") / cells).alias("x"))
+
+
 def lloyd(points: np.ndarray, cells: int, *, rounds: int = 100, least_change: float = 1e-3) -> list[float]:
     """Borders half-way between the sorted centres of one-dimensional k-means from quantile centres; an empty cell keeps its centre."""
     x = np.sort(points)

@@ -278,8 +278,9 @@ def bounds(tree: Tree, qs: np.ndarray, which: str = "lower", nodes: list[Node] |
     return out
 
 
-def leaf_scan(series: DataFrame, block: knn.Queries, tree: Tree, allowed: np.ndarray, k: int, *, limits: np.ndarray | None = None, summary: knn.Summary | None = None) -> DataFrame:
-    """q_id, vec_id, d2 of the k best of each task among the leaves allowed (queries x leaves); only those leaves are read."""
+def leaf_scan(series: DataFrame, block: knn.Queries, tree, allowed: np.ndarray, k: int, *, limits: np.ndarray | None = None, summary: knn.Summary | None = None) -> DataFrame:
+    """q_id, vec_id, d2 of the k best of each task among the leaves allowed (queries x leaves); only those leaves are read. tree:
+    whatever has leaves() with ids."""
     leaves = np.array([n.id for n in tree.leaves()])
     wanted = leaves[allowed.any(axis=0)]
     rows = series.where(F.col("leaf_id").isin(wanted.tolist())) if len(wanted) < min(len(leaves), 2000) else series
@@ -306,7 +307,7 @@ def leaf_scan(series: DataFrame, block: knn.Queries, tree: Tree, allowed: np.nda
     return rows.select("leaf_id", "vec_id", "v").mapInPandas(run, "q_id long, vec_id long, d2 double")
 
 
-def _kth(found: DataFrame, k: int, q_ids: np.ndarray) -> np.ndarray:
+def kth_distances(found: DataFrame, k: int, q_ids: np.ndarray) -> np.ndarray:
     """The k-th squared distance of each query; infinity where there are fewer."""
     w = Window.partitionBy("q_id").orderBy("d2", "vec_id")
     rows = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select("q_id", "d2").collect()  # a row a query of the block
@@ -336,7 +337,7 @@ def search(series: DataFrame, tree: Tree, queries: DataFrame, k: int, *, approxi
         if probes:
             parts.append(approximate)
             continue
-        kth = _kth(approximate, k, block[0])
+        kth = kth_distances(approximate, k, block[0])
         allowed = lower <= (kth / (1 + epsilon) + 1e-9)[:, None]
         if r_delta:
             stop = kth <= r_delta * (1 + epsilon)
@@ -376,7 +377,7 @@ def pruned_nodes(series: DataFrame, tree: Tree, queries: DataFrame, k: int, appr
     spark = series.sparkSession
     rows = []
     for block in knn.query_blocks(queries, "vec_id", "v"):
-        kth = _kth(leaf_scan(series, block, tree, nearest_leaves(bounds(tree, block[1]), approximate_leaves), k), k, block[0])
+        kth = kth_distances(leaf_scan(series, block, tree, nearest_leaves(bounds(tree, block[1]), approximate_leaves), k), k, block[0])
         rows += [(int(q), float(d)) for q, d in zip(block[0], kth, strict=True)]
     limits = spark.createDataFrame(rows, "q_id long, bsf double")
     parents = F.expr("CAST(node_id div 2 AS LONG)").alias("parent_id")

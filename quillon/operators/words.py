@@ -50,6 +50,9 @@ class WordTree:
                 todo += [(2 * at, rows[bit == 0]), (2 * at + 1, rows[bit == 1])]
         return out
 
+    def leaves(self) -> list[Prefix]:
+        return [n for _, n in sorted(self.nodes.items()) if n.cut is None]
+
     def breakpoint(self, node: Prefix, segment: int) -> float:
         """The breakpoint that the next bit of a segment decides by."""
         bits = node.bits[segment] + 1
@@ -148,6 +151,20 @@ def home_leaf_join(data: DataFrame, queries: DataFrame, tree: WordTree, k: int)
     return knn.top(left.join(right, "leaf_id").select("q_id", "vec_id", squared_distance(F.col("v"), F.col("q")).alias("d2")), k)
 
 
+def search(rows: DataFrame, tree: WordTree, queries: DataFrame, k: int, *, first_leaves: int = 8) -> DataFrame:
+    """Exact, over rows with leaf_id: the leaves of least bound give a first k-th distance, all leaves within it are scanned, rows behind
+    the bound of their word."""
+    from . import tree as trees
+
+    parts = None
+    for block in knn.query_blocks(queries, "vec_id", "v"):
+        lower = np.array([[low[n.id] for n in tree.leaves()] for low in map(tree.lower, block[1])])
+        kth = trees.kth_distances(trees.leaf_scan(rows, block, tree, trees.nearest_leaves(lower, first_leaves), k), k, block[0])
+        found = trees.leaf_scan(rows, block, tree, lower <= (kth + 1e-9)[:, None], k, limits=kth, summary=knn.SaxSummary(tree.segments, 1 << tree.most_bits))
+        parts = found if parts is None else parts.unionByName(found)
+    return knn.top(parts if parts is not None else rows.sparkSession.createDataFrame([], "q_id long, vec_id long, d2 double"), k)
+
+
 def envelopes(rows: DataFrame) -> DataFrame:
     """leaf_id, pos, upper, lower: the pointwise extremes of the series of each leaf."""
     return rows.select("leaf_id", F.posexplode("v").alias("pos", "x")).groupBy("leaf_id", "pos").agg(F.max("x").alias("upper"), F.min("x").alias("lower"))

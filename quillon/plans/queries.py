@@ -474,6 +474,12 @@ def va_equidepth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.equidepth(coefs, [3] * 16).select("dim", "border", F.round("x", 6).alias("x"))
 
 
+@query(f"WITH {W_}, {_dft('w')} SELECT CAST(dim AS INTEGER) AS dim, CAST(i AS INTEGER) AS border, round(min(x) + (max(x) - min(x)) * i / 8, 6) AS x FROM g, (SELECT unnest(range(1, 8)) AS i) GROUP BY dim, i")
+def va_equiwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coefs = quantised.coefficients(tables.walks(spark, sf_dir), LENGTH, 8)
+    return quantised.equiwidth(coefs, 8).select("dim", "border", F.round("x", 6).alias("x"))
+
+
 @query()
 def va_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     borders = quantised.kmeans(quantised.coefficients(tables.walks(spark, sf_dir), LENGTH, 8), [3] * 16)
@@ -496,6 +502,13 @@ def word_home_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.home_leaf_join(w, asked(w), words.build(w, 64), 10)
 
 
+@query(_knn_sql(W_, "w", 10))
+def knn_word_tree_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = kept(tables.walks(spark, sf_dir), "walks")
+    built = words.build(w, 64)
+    return words.search(kept(words.assigned(w, built), "leaves"), built, asked(w), 10, first_leaves=2)
+
+
 @query()
 def word_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = words.build(tables.walks(spark, sf_dir), 64)
@@ -518,6 +531,18 @@ def root_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Time warping.
 
 
+@query(f"""WITH {W_}, {_word('w')}, y AS (SELECT vec_id, word, [CAST(-1e300 AS DOUBLE)] || cuts AS lo, cuts || [CAST(1e300 AS DOUBLE)] AS hi FROM x, b),
+u AS (SELECT vec_id, {_ENV.format(f='max', n='hi')}, {_ENV.format(f='min', n='lo')} FROM w WHERE vec_id % 50 = 0),
+q AS (SELECT vec_id AS q_id, list_transform(range(0, 16), lambda i: list_sum(hi[4 * i + 1:4 * i + 4]) / 4) AS top, list_transform(range(0, 16), lambda i: list_sum(lo[4 * i + 1:4 * i + 4]) / 4) AS low FROM u)
+SELECT q_id, vec_id, round(sqrt(4 * list_sum(list_transform(range(1, 17), lambda i: greatest(y.lo[y.word[i] + 1] - q.top[i], q.low[i] - y.hi[y.word[i] + 1], 0) ** 2))), 6) AS lb FROM q, y""")
+def dtw_mindist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words' bound of the warping distance."""
+    w = tables.walks(spark, sf_dir).select("vec_id", "v", series.sax(F.col("v"), SEGMENTS, LENGTH, CARDINALITY).alias("word"))
+    q = asked(w).select(F.col("vec_id").alias("q_id"), series.envelope(F.col("v"), LENGTH, 5).alias("env"))
+    pairs = against(q, w.select("vec_id", "word"))
+    return pairs.select("q_id", "vec_id", F.round(F.sqrt(series.dtw_mindist(F.col("env"), F.col("word"), SEGMENTS, LENGTH, CARDINALITY)), 6).alias("lb"))
+
+
 @query()
 def dtw_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.walks(spark, sf_dir)
