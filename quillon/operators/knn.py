@@ -95,7 +95,7 @@ def query_blocks(queries: DataFrame, id_col: str, vector_col: str) -> Iterator[Q
     """Ids and vectors of the queries, a bounded block at a time."""
     rows = queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     ids, vectors, held = [], [], 0
-    for r in rows.toLocalIterator():
+    for r in rows.repartition(8).toLocalIterator():  # the shuffle lets the scan for the queries run in parallel
         if r["id"] is None or r["v"] is None:
             continue
         ids.append(r["id"])

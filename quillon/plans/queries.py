@@ -238,7 +238,7 @@ def against(queries: DataFrame, rows: DataFrame) -> DataFrame:
         out = part if out is None else out.unionByName(part)
         held.clear()
 
-    for r in queries.toLocalIterator():
+    for r in queries.repartition(8).toLocalIterator():  # the shuffle lets the scan for the queries run in parallel
         held.append(r)
         if len(held) == QUERY_ROWS:
             meet()
