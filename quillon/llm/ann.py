@@ -16,7 +16,6 @@ own row is left out by its id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np

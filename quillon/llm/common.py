@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, parts: int = 16) -> Iterator:
+    """The rows of a small result of a large scan, one after another. The shuffle lets the scan run in parallel: without it each
+    partition of the scan would be a job of its own, one after another."""
+    return df.repartition(parts).toLocalIterator()
+
+
 def columns(docs: DataFrame, **needed: str) -> DataFrame:
     """Only the columns an operator needs, under its own names: name=column. Other columns can't clash with what it adds."""
     return docs.select(*[F.col(f"`{column}`").alias(name) for name, column in needed.items()])

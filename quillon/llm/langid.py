@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, crc_mod, small_batches
+from .common import columns, crc_mod, gathered, small_batches
 
 UNDETERMINED = "und"
 
@@ -176,7 +176,7 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
 
     chosen = known.withColumn("h", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale))).where(F.col("h") < share)
     got, entries = [], 0
-    for r in chosen.mapInPandas(sample, "id string, h long, lang string, at binary, n binary").toLocalIterator():
+    for r in gathered(chosen.mapInPandas(sample, "id string, h long, lang string, at binary, n binary")):
         entries += len(r["at"]) // 4
         if len(got) >= 2 * s.max_train_docs or entries > s.max_train_entries:
             break  # only where one id repeats without end

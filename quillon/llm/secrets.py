@@ -19,7 +19,6 @@ columns are ignored. The plan is one narrow stage: no shuffle, no state beyond o
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -210,7 +209,3 @@ def redact(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", q
 def digest(found: DataFrame) -> DataFrame:
     """The query's columns."""
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")
-
-
-def sha256_of(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

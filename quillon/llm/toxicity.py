@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, crc_mod, sigmoid, small_batches
+from .common import columns, crc_mod, gathered, sigmoid, small_batches
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 PIECE = 24
@@ -274,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return None
     ids = spark.createDataFrame(picked, chosen.schema)
     rows, size = [], 0
-    for r in columns(docs, id=id_col, text=text_col).join(F.broadcast(ids), "id").toLocalIterator():
+    for r in gathered(columns(docs, id=id_col, text=text_col).join(F.broadcast(ids), "id")):
         size += len(r["text"] or "")
         if len(rows) >= 4 * s.max_train_docs or size > s.max_train_bytes:
             break  # only where texts are far longer than usual, or one id repeats without end

@@ -7,7 +7,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
