@@ -1,17 +1,19 @@
 """Secret scan: fixed detectors, and a battery of randomness tests with length-aware false-discovery control.
 
-Three detectors by pattern always report (kinds ``assign``, ``access``, ``hex``). The battery looks at every other long token.
-It infers the token's encoding (hex, base32, base64, URL-safe base64) and asks how unlikely it is that a *patterned* string of that
+Three detectors by pattern always report (kinds ``assign``, ``access``, ``hex``). The battery looks at every other long token: a run of
+encoding symbols is split after each '=' that isn't padding, and of each piece the longest parts that one encoding holds are candidates,
+for every encoding, so that NAME=VALUE, ?sig=VALUE and path/VALUE don't hide the value. It infers the candidate's encoding (hex, base32, base64, URL-safe base64) and asks how unlikely it is that a *patterned* string of that
 length and alphabet (a word, a path, a counter) looks as random as this one does, by three tests:
 
 * uniformity: under the patterned null the chi-squared statistic of the symbols against uniform frequencies is noncentral, with a
   noncentrality that grows with the length; the p-value is the lower tail.
-* runs: patterned tokens change the class of symbol (lower, upper, digit) seldom; upper binomial tail of the observed changes.
+* runs: patterned tokens change the class of symbol (lower, upper, digit) seldom; upper binomial tail of the observed changes. In a token
+  without a digit a change is the start of a word, capitalised or not, so that camelCase and snake_case names count as patterned.
 * serial correlation: patterned tokens have correlated neighbours; by Fisher's z, the chance of a correlation as near to zero.
 
 Fisher's method combines the three. Within a document a weighted Benjamini-Hochberg step-up decides, with weights that rise with
-the length and average 1, so that short tokens, for which the tests have little power, need smaller p-values. Spans of kind
-``random`` are those found that overlap no span of a detector.
+the length and average 1, so that short tokens, for which the tests have little power, need smaller p-values. Candidates that overlap a
+span of a detector aren't tested; those found that overlap each other are one span of kind ``random``.
 
 Defined results: null text counts as empty and has no spans; each row is judged alone, so repeated rows give repeated results; other
 columns are ignored. The plan is one narrow stage: no shuffle, no state beyond one Arrow batch.
@@ -37,8 +39,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
+LEAST_TOKEN = 20
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PIECE = re.compile(r"[^=]+=*")
+#: The symbols of each encoding below; a hex part has one case.
+PARTS = tuple(map(re.compile, (r"[0-9a-f]{20,}", r"[0-9A-F]{20,}", r"[A-Z2-7]+=*", r"[A-Za-z0-9+/]+={0,2}", r"[A-Za-z0-9_-]+={0,2}")))
 HAS_DIGIT = re.compile(r"[0-9]")
+HAS_LETTER = re.compile(r"[A-Za-z]")
+WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]+|[a-z]")
 #: (name, members, alphabet) by increasing alphabet; a token has the first encoding that holds all its symbols.
 ENCODINGS = (
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), "0123456789abcdef"),
@@ -85,10 +93,8 @@ def _chi2_tail_even(x: float, df: int) -> float:
 
 
 def encoding_of(token: str) -> tuple[str, str] | None:
-    """Name and alphabet, or None where no encoding mixes kinds of symbols as the token does."""
-    body = token.rstrip("=")
-    kinds = bool(HAS_DIGIT.search(body)) + (body.upper() != body) + (body.lower() != body)
-    if kinds < 2 or not HAS_DIGIT.search(body):
+    """Name and alphabet, or None for numbers and where no encoding mixes kinds of symbols as the token does."""
+    if not HAS_LETTER.search(token):
         return None
     for name, members, alphabet in ENCODINGS:
         if members.fullmatch(token):
@@ -116,7 +122,7 @@ def randomness_p(token: str) -> float:
     chi2 = sum(c * c for c in counts.values()) * k / n - n
     p_uniform = _noncentral_chi2_cdf(chi2, k - 1, n * NULL_EXCESS)
     classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in body]
-    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
+    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False)) if HAS_DIGIT.search(body) else max(0, len(WORD.findall(body)) - 1)
     p_runs = _binomial_tail(n - 1, NULL_CHANGE, changes)
     mean = sum(values) / n
     spread = sum((v - mean) ** 2 for v in values)
@@ -153,14 +159,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans of the parts of long tokens that some encoding holds, each once."""
+    found = set()
+    for m in TOKEN.finditer(text):
+        for piece in PIECE.finditer(text, m.start(), m.end()):
+            if piece.end() - piece.start() >= LEAST_TOKEN:
+                for part in PARTS:
+                    found |= {p.span() for p in part.finditer(text, *piece.span()) if p.end() - p.start() >= LEAST_TOKEN}
+    return sorted(found)
+
+
+def joined_up(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def all_spans(text: str, q: float, base: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
     base = base_spans(text) if base is None else base
-    tokens = []
-    for m in TOKEN.finditer(text):
-        token = m[0]
-        if HAS_DIGIT.search(token) and not any(s < m.end() and m.start() < e for s, e, _ in base):
-            tokens.append((m.start(), m.end(), token))
-    return sorted(base + [(s, e, 3) for s, e in discoveries(tokens, q)], key=lambda x: (x[0], x[2], x[1]))
+    tokens = [(a, b, text[a:b]) for a, b in candidates(text) if HAS_LETTER.search(text, a, b) and not any(s < b and a < e for s, e, _ in base)]
+    return sorted(base + [(s, e, 3) for s, e in joined_up(discoveries(tokens, q))], key=lambda x: (x[0], x[2], x[1]))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

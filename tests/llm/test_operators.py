@@ -429,6 +429,18 @@ def test_random_tokens_look_random_and_words_do_not():
         assert secrets.randomness_p(t) > 1e-3
 
 
+def test_secrets_behind_names_paths_and_without_digits_are_found():
+    value = "q8Zk3Lw0Xv7Tn2Rb9Yc5Hd1Mf6Gj4Ps"
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEK3Y"
+    for before, secret in (("aws_access_key=", aws), ("AUTH=", value), ("https://x.org/get?sig=", value), ("see a-b/", value), ("AUTH=", value + "w=="), ("key ", "qVxZpLmKdRtYwBnHsJcGfEaUoTiNlWkQyDvSbMzP")):
+        text = f"{before}{secret} end"
+        at = text.index(secret)
+        spans = secrets.all_spans(text, 1e-3)
+        assert len(spans) == 1 and spans[0][0] <= at and spans[0][1:] == (at + len(secret), 3)
+    for text in ("getElementsByTagNameAndClassName", "user_profile_settings_table_name", "usr/lib/share-of/the_application", "NAME_OF_A_THING=another_name_of_it", "00000000001111111111", "=" * 60):
+        assert secrets.all_spans(text, 1e-3) == []
+
+
 # Packing.
 
 
