@@ -62,6 +62,14 @@ def columns(docs: DataFrame, **needed: str) -> DataFrame:
     return docs.select(*[F.col(f"`{column}`").alias(name) for name, column in needed.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the value as text, modulo; null for a null value."""
     return F.crc32(F.col(column).cast("string")) % modulus

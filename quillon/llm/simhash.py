@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, small_batches, written
+from .common import columns, small_batches, unused, written
 from .graph import components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
@@ -60,15 +60,20 @@ def fingerprint(text: str | None) -> int:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def text_key(text_col: str):
+    """What tells the texts of rows with one id apart."""
+    return F.struct(F.xxhash64(text_col).alias("hash"), F.coalesce(F.length(text_col), F.lit(-1)).alias("length"))
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row; keys: and key, the text's."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
 
-    return columns(docs, doc_id=id_col, text=text_col).select("doc_id", run("text").alias("fp"))
+    return columns(docs, doc_id=id_col, text=text_col).select("doc_id", run("text").alias("fp"), *([text_key("text").alias("key")] if keys else []))
 
 
 def joined_trie(group: np.ndarray, fps: np.ndarray, rest: np.ndarray, bits: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
@@ -173,22 +178,33 @@ def links(classes: DataFrame, most: int = MOST) -> DataFrame:
     return tasks.repartition(parts, "pair", "bits", "lo", "hi").mapInPandas(run, "u long, v long")
 
 
+def rooted(classes: DataFrame, most: int = MOST) -> DataFrame:
+    """classes with the root of each one's component."""
+    roots = components(links(classes.select("fp"), most))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id of the component) of every row."""
     marks = written(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp"), most))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), most)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return marks.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row for each component, that with the smallest id; the same columns."""
-    found = groups(docs, id_col=id_col, text_col=text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().select(F.col("doc_id").alias("_keep"), F.col("count").alias("_n"))
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("_keep"))
-    once = docs.join(keep.where("_n = 1"), on, "left_semi")
-    again = docs.join(keep.where("_n > 1"), on, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again)
+    """docs with one row for each component, that with the smallest id (null only where all are) and the least hash of its text; the same
+    columns. A row is known by id and text, so rows that share an id, or have none, are kept or left each for its own component."""
+    marks = written(fingerprints(docs, id_col=id_col, text_col=text_col, keys=True), "fingerprints")
+    rows = marks.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
+    classes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("head"))
+    heads = rooted(classes).groupBy("root").agg(F.min("head").alias("head"))
+    id_, key, n = (unused(docs, f"_keep_{c}") for c in ("id", "key", "n"))
+    keep = heads.select(F.col("head.doc_id").alias(id_), F.col("head.key").alias(key), F.col("head.n").alias(n))
+    mine = unused(docs, "_key")
+    keyed = docs.withColumn(mine, text_key(f"`{text_col}`"))
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (F.col(mine) == F.col(key))
+    once = keyed.join(keep.where(F.col(n) == 1), on, "left_semi")
+    again = keyed.join(keep.where(F.col(n) > 1), on, "left_semi").dropDuplicates([id_col, mine])
+    return once.unionByName(again).drop(mine)

@@ -152,6 +152,17 @@ def test_one_of_each_keeps_one_row_of_a_group(odd, empty):
     assert simhash.groups(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_keeps_a_row_of_every_component_without_ids(spark):
+    a, b, c, d, e = (prose(40 + i, 120) for i in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (8, e), (9, d), (None, None), (None, "")]
+    kept = simhash.one_of_each(frame(spark, [(*r, 5, "k") for r in rows], ", _keep_id long, _key string"))
+    assert kept.columns == ["doc_id", "text", "_keep_id", "_key"]
+    got = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (None, b), (None, c), (7, d), (7, e), (None, "")], key=str)
+    only = simhash.one_of_each(frame(spark, [(None, a), (1, b), (None, b), (2, b)])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in only), key=str) == sorted([(None, a), (1, b)], key=str)
+
+
 def test_components_of_a_path_a_star_and_repeats(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 6), (7, 6), (200, 200)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
