@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by cosine: inverted lists, and an adaptive scan of dimensions within each probed list.
 
 Fitting takes a bounded sample (``sample`` vectors, chosen by the hash of the id): unit length, a random rotation, and spherical k-means for
-the lists. The number of lists to probe is the least that reaches ``aim`` recall against brute force within the sample. Every row is indexed.
+the lists. The number of lists to probe is the least that reaches ``aim`` recall against brute force within the sample; queries further from
+their nearest centre, whose neighbours are more scattered, have numbers of their own, never a lesser one. Each query goes on to further
+lists until those it probes hold ``spare`` times the rows it needs. Every row is indexed.
 
 Lists are cut into blocks of bounded size by hash, so a list that a third of all vectors fall in is many tasks; queries go to every block
 of each list they probe, in portions. A block holds its rotated vectors as column blocks of ``step`` dimensions. After each column block the
 partial distance, scaled to all dimensions, is tested against the query's best so far: on a random rotation it concentrates, so that a
 candidate is abandoned as soon as the hypothesis that it is near enough is rejected at ``slack`` deviations. What survives all blocks gets
-its exact cosine from the original vectors in double precision; each block gives its k best and a window keeps the k best of all.
+its exact cosine from the original vectors in double precision; each block gives its k best and a window keeps the k best of all. Queries
+with fewer than k rows then (where many rows share the query's id) are asked again of all lists.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite components take no
 part; rows with a null id neither; ties go to the smaller id; fewer than k candidates give fewer rows; other columns are ignored. A query's
@@ -32,6 +35,7 @@ class Settings:
     sample: int = 16_384
     most_lists: int = 1024
     aim: float = 0.97
+    spare: int = 4
     step: int = 16
     slack: float = 2.1
     block: int = 8192
@@ -44,6 +48,18 @@ class Index:
     rotation: np.ndarray
     centres: np.ndarray
     probes: int
+    #: Probes by similarity to the nearest centre: below edges[i] and not below edges[i - 1], depths[i].
+    edges: np.ndarray
+    depths: np.ndarray
+
+    def probed(self, v: np.ndarray, sizes: np.ndarray, need: int) -> list[np.ndarray]:
+        """The lists that each query probes, nearest first: its number of probes, and on until they hold so many rows."""
+        near = self.turned(v) @ self.centres.T
+        order = np.argsort(-near, axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1)
+        full = (held < need).sum(axis=1) + 1
+        depth = np.maximum(self.probes, self.depths[np.searchsorted(self.edges, near.max(axis=1), side="right")])
+        return [o[:n].astype(np.int32) for o, n in zip(order, np.maximum(depth, full), strict=True)]
 
     def turned(self, v: np.ndarray) -> np.ndarray:
         """Unit vectors, rotated."""
@@ -78,12 +94,24 @@ def fit(sample: np.ndarray, rows: int, k: int, s: Settings) -> Index:
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
     of = (x @ centres.T).argmax(axis=1)
-    asked = x[r.choice(len(x), min(256, len(x)), replace=False)]
-    near = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, 1 : k + 1]
-    order = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)  # place of each list in each query's order
-    place = np.take_along_axis(order, of[near], axis=1).ravel()
-    probes = int(np.quantile(place, s.aim, method="higher")) + 1 if place.size else lists
-    return Index(rotation, centres, min(lists, probes))
+    asked = x[r.choice(len(x), min(1024, len(x)), replace=False)]
+    place = []
+    for i in range(0, len(asked), 64):
+        part = asked[i : i + 64]
+        near = np.argsort(-(part @ x.T), axis=1, kind="stable")[:, 1 : k + 1]
+        order = np.argsort(np.argsort(-(part @ centres.T), axis=1), axis=1)  # place of each list in each query's order
+        place.append(np.take_along_axis(order, of[near], axis=1))
+    place = np.concatenate(place)
+
+    def least(p: np.ndarray) -> int:
+        return min(lists, int(np.quantile(p, s.aim, method="higher")) + 1) if p.size else lists
+
+    # The furthest 1/64 of the sampled queries, then as many again as all before, and so on.
+    far = (asked @ centres.T).max(axis=1)
+    by = np.argsort(far, kind="stable")
+    cuts = [len(by) >> j for j in range(6, 0, -1) if len(by) >> j >= 8]
+    depths = np.array([least(place[p]) for p in np.split(by, cuts)])
+    return Index(rotation, centres, least(place), far[by[cuts]], depths)
 
 
 def scan(x: np.ndarray, ids: np.ndarray, y: np.ndarray, own: np.ndarray, k: int, index: Index, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,21 +178,16 @@ def search(vectors: DataFrame, asked: DataFrame, k: int = 5, *, id_col: str = "v
         ix = shared.value
         return pd.Series((ix.turned(np.stack(v.to_numpy())) @ ix.centres.T).argmax(axis=1).astype(np.int32) if len(v) else np.zeros(0, np.int32))
 
+    placed = written(base.select("id", "v", nearest("v").alias("list")), "lists")
+    per_list = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # at most most_lists rows
+    held_by = np.array([per_list.get(n, 0) for n in range(len(index.centres))])
+
     @F.pandas_udf("array<int>")
     def probed(v: pd.Series) -> pd.Series:
-        ix = shared.value
-        near = np.argsort(-(ix.turned(np.stack(v.to_numpy())) @ ix.centres.T), axis=1, kind="stable")[:, : ix.probes] if len(v) else []
-        return pd.Series(list(near), dtype=object)
+        return pd.Series(shared.value.probed(np.stack(v.to_numpy()), held_by, s.spare * (k + 1)) if len(v) else [], dtype=object)
 
-    placed = written(base.select("id", "v", nearest("v").alias("list")), "lists")
     queries = written(usable(asked, id_col, vector_col).select("id", "v", probed("v").alias("probes")), "probes")
-    per_list = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # at most most_lists rows
-    per_probe = {r["list"]: r["count"] for r in queries.select(F.explode("probes").alias("list")).groupBy("list").count().collect()}
-    sizes = [(n, -(-per_list[n] // s.block), -(-per_probe[n] // s.portion)) for n in per_list if n in per_probe]
-    shape = F.broadcast(spark.createDataFrame(sizes, "list int, blocks int, portions int"))
     mine = lambda n: F.pmod(F.xxhash64("id", F.lit(4)), F.col(n)).cast("int")
-    held = placed.join(shape, "list").select("id", "v", "list", mine("blocks").alias("block"), F.explode(F.expr("sequence(0, portions - 1)")).alias("portion"))
-    sent = queries.select("id", "v", F.explode("probes").alias("list")).join(shape, "list").select("id", "v", "list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), mine("portions").alias("portion"))
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
@@ -173,10 +196,24 @@ def search(vectors: DataFrame, asked: DataFrame, k: int = 5, *, id_col: str = "v
         i, ids, score = scan(np.stack(x["v"].to_numpy()), x["id"].to_numpy(), np.stack(y["v"].to_numpy()), own, k, shared.value, s)
         return pd.DataFrame({"query_id": own[i], "vec_id": ids, "score": score})
 
-    key = ["list", "block", "portion"]
-    found = held.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def answers(queries: DataFrame) -> DataFrame:
+        per_probe = {r["list"]: r["count"] for r in queries.select(F.explode("probes").alias("list")).groupBy("list").count().collect()}
+        sizes = [(n, -(-per_list[n] // s.block), -(-per_probe[n] // s.portion)) for n in per_list if n in per_probe]
+        shape = F.broadcast(spark.createDataFrame(sizes, "list int, blocks int, portions int"))
+        held = placed.join(shape, "list").select("id", "v", "list", mine("blocks").alias("block"), F.explode(F.expr("sequence(0, portions - 1)")).alias("portion"))
+        sent = queries.select("id", "v", F.explode("probes").alias("list")).join(shape, "list").select("id", "v", "list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), mine("portions").alias("portion"))
+        key = ["list", "block", "portion"]
+        found = held.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first = written(answers(queries), "near")
+    enough = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = queries.where(F.size("probes") < len(held_by)).join(enough, "id", "left_anti")
+    if short.isEmpty():
+        return first
+    short = written(short.withColumn("probes", F.array(*map(F.lit, range(len(held_by))))), "short")
+    return first.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(answers(short))
 
 
 def digest(vectors: DataFrame) -> DataFrame:

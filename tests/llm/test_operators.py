@@ -389,6 +389,35 @@ def test_neighbours_reach_the_recall_and_are_scored_exactly(spark):
     assert ann.digest(df.limit(0)).count() == 0
 
 
+def test_every_query_has_k_rows_on_clusters_with_outliers(spark):
+    r = np.random.default_rng(3)
+    n, d = 6000, 16
+    heart = r.standard_normal((12, d))
+    x = heart[r.integers(12, size=n)] + 0.02 * r.standard_normal((n, d))
+    far = r.random(n) < 0.02
+    x[far] = r.standard_normal((far.sum(), d))
+    x[far.nonzero()[0][:2]] = x[far.nonzero()[0][0]] * 9  # two rows far from all else
+    alone = r.standard_normal(d)
+    shared = [(n + 1, [float(a) for a in alone + 0.001 * r.standard_normal(d)]) for _ in range(1500)]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)] + shared, "vec_id long, embedding array<double>")
+    asked = df.where(F.col("vec_id").isin([int(i) for i in far.nonzero()[0]] + list(range(0, n, 100))))
+    asked = asked.unionByName(df.where(f"vec_id = {n + 1}").limit(1))
+    got = collections.defaultdict(list)
+    for row in ann.search(df, asked, 5).collect():
+        got[row["query_id"]].append(row["vec_id"])
+    assert len(got) == asked.count() and all(len(v) == 5 for v in got.values())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = u[far] @ u.T
+    score[np.arange(far.sum()), far.nonzero()[0]] = -9
+    best = np.argsort(-score, axis=1)[:, :5]
+    assert np.mean([len(set(got[int(q)]) & set(b.tolist())) / 5 for q, b in zip(far.nonzero()[0], best, strict=True)]) > 0.8
+
+
+def test_probes_go_on_until_the_lists_hold_enough():
+    ix = ann.Index(np.eye(2), np.array([[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]]), 1, np.zeros(0), np.array([1]))
+    assert [p.tolist() for p in ix.probed(np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([2, 3, 50]), 6)] == [[0, 1, 2], [2]]
+
+
 # Secrets.
 
 
