@@ -1,12 +1,14 @@
 """Token ids of a public byte-level BPE vocabulary.
 
 The two files hold one vocabulary for two libraries, which give equal ids; the faster one encodes, except texts that hold a special
-token's string, whose ids the first library's file defines. One encoder is kept in each Python worker.
+token's string, whose ids the first library's file defines, and texts that the faster one can't encode: it panics on some million white
+space characters in a row. One encoder is kept in each Python worker.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +17,10 @@ from tokenizers import Tokenizer
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+#: A run of white space that the faster library isn't given, far below what it fails on.
+LONG_SPACE = 100_000
+_SPACES = re.compile(rf"\s{{{LONG_SPACE}}}")
+
 _held: dict[tuple[str, str], Encoder] = {}
 
 
@@ -29,9 +35,14 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.fast.encode_ordinary(text), np.uint32)
+        if not any(s in text for s in self.special) and not (len(text) >= LONG_SPACE and _SPACES.search(text)):
+            try:
+                return np.array(self.fast.encode_ordinary(text), np.uint32)
+            except (KeyboardInterrupt, SystemExit, MemoryError):
+                raise
+            except BaseException:  # noqa: BLE001  a panic of the library is no Exception
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def encoder(json_path: str = JSON, ranks_path: str = RANKS) -> Encoder:

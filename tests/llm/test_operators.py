@@ -84,6 +84,25 @@ def test_ids_are_those_of_the_vocabulary_file():
         assert e.ids(t).tolist() == e.whole.encode(t, add_special_tokens=False).ids
 
 
+def test_very_long_white_space_is_encoded():
+    e = tokens.encoder()
+    for t in (" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "x y" + " \n" * 1_000_000):
+        assert e.ids(t).tolist() == e.whole.encode(t, add_special_tokens=False).ids
+
+
+def test_what_the_faster_library_fails_on_goes_to_the_other(monkeypatch):
+    class Panic(BaseException):
+        pass
+
+    class Failing:
+        def encode_ordinary(self, text):
+            raise Panic
+
+    e = tokens.Encoder(tokens.JSON, tokens.RANKS)
+    monkeypatch.setattr(e, "fast", Failing())
+    assert e.ids("one two").tolist() == e.whole.encode("one two", add_special_tokens=False).ids
+
+
 # SimHash.
 
 
