@@ -44,7 +44,7 @@ class Settings:
     inputs: int = 12
     hidden: int = 8
     width: int = 32
-    stride: int = 24
+    stride: int = 16
     epochs: int = 5
     batch: int = 32
     rate: float = 0.01

@@ -635,3 +635,10 @@ def test_toxic_texts_are_found_on_rows_held_out(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not x["predicted"] for x in got.values())
     assert toxicity.digest(docs, marks.limit(0)).where("score > 0").count() == 0
     assert toxicity.digest(docs.limit(0), marks).count() == 0
+
+
+def test_short_passages_lie_whole_in_a_window_at_every_offset():
+    s = toxicity.Settings()
+    first, length, _ = toxicity.layout([500], s.width, s.stride)
+    for n in (12, s.width // 2):
+        assert all(((first <= at) & (at + n <= first + length)).any() for at in range(500 - n + 1))
