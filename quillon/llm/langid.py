@@ -4,7 +4,8 @@ Letters are lower-cased and every run of other characters becomes one space; 1-
 of features. Document frequencies count every training document of the corpus in one pass (each task adds up its own, then a shuffle of
 at most ``n_features`` rows a task). Weights are fitted on the driver by follow-the-regularised-leader (FTRL-proximal) with an L1 and an
 L2 penalty, which leaves most of them exactly zero, on a bounded sample of the training documents: at most ``max_train_docs``, chosen by
-the hash of the id, so the choice doesn't depend on partitioning. A fifth of the sample is kept from the weights and sets the
+the hash of the id, so the choice doesn't depend on partitioning. Half of the sample is open to all languages alike, the rest goes by
+their numbers of labelled rows, so that every language is learned. A fifth of each language's sample is kept from the weights and sets the
 temperature. The model that goes to the workers is languages x features numbers, whatever the size of the corpus.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; so does every text where nothing could be learned (no
@@ -139,6 +140,31 @@ class Model:
         return self.langs[k], float(p[k])
 
 
+def quotas(labelled: dict[str, int], most: int) -> dict[str, int]:
+    """Documents to draw of each language: as many of all where there are few, half of ``most`` in equal parts, the rest in proportion."""
+    floor = max(1, most // (2 * max(1, len(labelled))))
+    base = {lang: min(n, floor) for lang, n in labelled.items()}
+    left, more = max(0, most - sum(base.values())), max(1, sum(labelled.values()) - sum(base.values()))
+    return {lang: base[lang] + min(n - base[lang], left * (n - base[lang]) // more) for lang, n in labelled.items()}
+
+
+def within(rows: list, quota: dict[str, int], most_entries: int) -> list[tuple]:
+    """Rows (h, id, lang, key, entries) by hash: the quota of each language, all languages cut alike where the entries pass the bound."""
+    nth: dict[str, int] = {}
+    ranked = []
+    for h, i, lang, key, entries in sorted(map(tuple, rows)):
+        nth[lang] = nth.get(lang, 0) + 1
+        if nth[lang] <= quota[lang]:
+            ranked.append((nth[lang] > 1, nth[lang] / quota[lang], h, i, lang, key, entries))
+    out, total = [], 0
+    for *_, h, i, lang, key, entries in sorted(ranked):
+        total += entries
+        if total > most_entries:
+            break
+        out.append((h, i, lang, key))
+    return out
+
+
 def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None) -> Model:
     """Document frequencies from every row of train, weights from a bounded sample of those with a language."""
     s = settings or Settings()
@@ -147,15 +173,20 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(s.n_features, np.int64), 0
+        by: dict[str, int] = {}
         for batch in batches:
-            for text in batch["text"]:
+            for text, lang in zip(batch["text"], batch["lang"], strict=True):
                 if found := features(text, s.n_features):
                     df[found[0]] += 1
                     n += 1
+                    if lang is not None and lang != UNDETERMINED:
+                        by[lang] = by.get(lang, 0) + 1
         at = np.flatnonzero(df)
-        yield pd.DataFrame({"feature": np.append(at, -1), "n": np.append(df[at], n)})
+        names = pd.Series([None] * (len(at) + 1) + list(by), dtype=object)
+        yield pd.DataFrame({"feature": [*at, -1, *[-2] * len(by)], "lang": names, "n": [*df[at], n, *by.values()]})
 
-    counted = rows.select("text").mapInPandas(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.select("text", "lang").mapInPandas(frequencies, "feature int, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")).toPandas()
+    labelled = {r.lang: int(r.n) for r in counted[counted["feature"] == -2].itertuples()}
     df = np.zeros(s.n_features)
     docs = int(counted.loc[counted["feature"] == -1, "n"].sum())
     held = counted[counted["feature"] >= 0]
@@ -164,7 +195,17 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
 
     known = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED))
     scale = 1 << 30
-    share = min(scale, int(scale * s.max_train_docs / max(1, docs)))
+    quota = quotas(labelled, s.max_train_docs)
+    # Somewhat more than the quota, so that it is reached.
+    shares = [(lang, min(scale, int(scale * (q + 4 * q**0.5 + 4) / labelled[lang]) + 1)) for lang, q in quota.items()]
+    shares = F.broadcast(train.sparkSession.createDataFrame(shares, "lang string, share long"))
+    drawn = known.join(shares, "lang").withColumn("h", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale))).where("h < share").withColumn("key", F.xxhash64("text"))
+
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [features(text, s.n_features) for text in batch["text"]]
+            out = [(h, i, lang, k, len(f[0])) for h, i, lang, k, f in zip(batch["h"], batch["id"], batch["lang"], batch["key"], found, strict=True) if f]
+            yield pd.DataFrame(out, columns=["h", "id", "lang", "key", "entries"])
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -174,17 +215,19 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
                     out.append((str(key), h, lang, found[0].astype(np.uint32).tobytes(), found[1].astype(np.uint32).tobytes()))
             yield pd.DataFrame(out, columns=["id", "h", "lang", "at", "n"])
 
-    chosen = known.withColumn("h", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale))).where(F.col("h") < share)
-    got, entries = [], 0
-    for r in gathered(chosen.mapInPandas(sample, "id string, h long, lang string, at binary, n binary")):
-        entries += len(r["at"]) // 4
-        if len(got) >= 2 * s.max_train_docs or entries > s.max_train_entries:
-            break  # only where one id repeats without end
-        got.append(r)
-    got.sort(key=lambda r: (r["h"], r["id"]))
+    known_as = ["h", "id", "lang", "key"]
+    seen = drawn.select("h", F.col("id").cast("string").alias("id"), "lang", "key", "text").mapInPandas(lengths, "h long, id string, lang string, key long, entries long").groupBy(*known_as).agg(F.max("entries").alias("entries"))
+    picked = within(seen.orderBy(*known_as).limit(4 * s.max_train_docs + 8 * len(quota)).collect(), quota, s.max_train_entries)
+    ids = F.broadcast(train.sparkSession.createDataFrame([(h, i, lang, k) for h, i, lang, k in picked], "h long, id string, lang string, key long"))
+    chosen = drawn.withColumn("id", F.col("id").cast("string")).join(ids, known_as).dropDuplicates(known_as)
+    got = list(gathered(chosen.mapInPandas(sample, "id string, h long, lang string, at binary, n binary")))
+    got.sort(key=lambda r: (r["h"], r["id"], r["lang"], bytes(r["at"])))
     langs = sorted({r["lang"] for r in got})
     data = [(at := np.frombuffer(r["at"], np.uint32), weighted(at, np.frombuffer(r["n"], np.uint32), idf), langs.index(r["lang"])) for r in got]
-    kept, rest = [x for i, x in enumerate(data) if i % 5], [x for i, x in enumerate(data) if not i % 5]
+    kept, rest, nth = [], [], [0] * len(langs)
+    for x in data:
+        nth[x[2]] += 1
+        (kept if nth[x[2]] % 5 else rest).append(x)
     weights = ftrl(kept or rest, len(langs), s) if langs else np.zeros((s.n_features, 0), np.float32)
     logits = np.array([v @ weights[at] for at, v, _ in rest]).reshape(len(rest), len(langs))
     return Model(langs, idf.astype(np.float32), weights, temperature(logits, np.array([y for *_, y in rest], int)), s)

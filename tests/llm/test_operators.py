@@ -642,3 +642,12 @@ def test_short_passages_lie_whole_in_a_window_at_every_offset():
     first, length, _ = toxicity.layout([500], s.width, s.stride)
     for n in (12, s.width // 2):
         assert all(((first <= at) & (at + n <= first + length)).any() for at in range(500 - n + 1))
+
+
+def test_few_labels_and_rare_languages_are_learned(spark):
+    rare = [(i, "żółw gęś ćma łąka źdźbło " * 4, "pl") for i in range(20)]
+    rows = [(i, prose(i, 20), "en") for i in range(100, 900)] + [(i, prose(i, 20), None) for i in range(1000, 3000)] + rare
+    model = langid.fit(frame(spark, rows, ", lang string"), settings=langid.Settings(max_train_docs=40))
+    assert model.langs == ["en", "pl"] and model.predict(rare[0][1])[0] == "pl" and model.predict(prose(5, 20))[0] == "en"
+    assert langid.quotas({"a": 1_000_000, "b": 3, "c": 5000}, 6000) == {"a": 4981, "b": 3, "c": 1015}
+    assert langid.quotas({"a": 5, "b": 3}, 6000) == {"a": 5, "b": 3} and langid.quotas({}, 6000) == {}
