@@ -8,8 +8,9 @@ text are scored, however long it is.
 
 Training is multiple-instance: every window of a clean document is clean, of a toxic document the worst window is toxic. Labels are
 noisy: words are hidden at random, and from the third epoch on toxic labels of texts that score low are left out. It runs on the driver
-on a bounded sample of labelled rows: at most ``max_train_docs`` of them, chosen by the hash of the id. Only those ids
-(a proven bound) are broadcast to find their texts. The network has some 900,000 numbers, whatever the size of the corpus; scoring is one
+on a bounded sample of labelled rows: at most ``max_train_docs`` of them, chosen by the hash of the id, and of those, by the hash still, as
+many as have ``max_train_bytes`` of text together; a single text over that bound is left out. Only those ids (a proven bound) are
+broadcast to find their texts. The network has some 900,000 numbers, whatever the size of the corpus; scoring is one
 narrow stage.
 
 Defined results: null and empty texts have no words and get the score of an empty window, which is trained as clean; repeated rows are
@@ -273,12 +274,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not picked:
         return None
     ids = spark.createDataFrame(picked, chosen.schema)
-    rows, size = [], 0
-    for r in gathered(columns(docs, id=id_col, text=text_col).join(F.broadcast(ids), "id")):
-        size += len(r["text"] or "")
-        if len(rows) >= 4 * s.max_train_docs or size > s.max_train_bytes:
-            break  # only where texts are far longer than usual, or one id repeats without end
-        rows.append((r["id"], r["text"], r["y"]))
+    found = columns(docs, id=id_col, text=text_col).join(F.broadcast(ids), "id").withColumn("key", F.xxhash64("text")).withColumn("h", h)
+    sizes = found.groupBy("h", "id", "key").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"))
+    kept, size = [], 0
+    for r in sizes.where(F.col("n") <= s.max_train_bytes).orderBy("h", "id", "key").limit(4 * s.max_train_docs).collect():
+        size += r["n"]
+        if size > s.max_train_bytes:
+            break
+        kept.append((r["id"], r["key"]))
+    read = F.broadcast(spark.createDataFrame(kept, sizes.select("id", "key").schema))
+    rows = [(r["id"], r["text"], r["y"]) for r in gathered(found.join(read, ["id", "key"]).dropDuplicates(["id", "key"]))]
     rows.sort(key=lambda x: (x[0], x[1] or ""))
     return train([(t, y) for _, t, y in rows], s)
 

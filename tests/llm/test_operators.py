@@ -651,3 +651,15 @@ def test_few_labels_and_rare_languages_are_learned(spark):
     assert model.langs == ["en", "pl"] and model.predict(rare[0][1])[0] == "pl" and model.predict(prose(5, 20))[0] == "en"
     assert langid.quotas({"a": 1_000_000, "b": 3, "c": 5000}, 6000) == {"a": 4981, "b": 3, "c": 1015}
     assert langid.quotas({"a": 5, "b": 3}, 6000) == {"a": 5, "b": 3} and langid.quotas({}, 6000) == {}
+
+
+def test_training_samples_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    docs = frame(spark, [(i, prose(i, 30)) for i in range(60)] + [(60, "long " * 5000)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, s: seen.append(rows))
+    for d in (docs.orderBy(F.desc("doc_id")).coalesce(1), docs.repartition(7)):
+        toxicity.fit(d, labels, settings=toxicity.Settings(max_train_bytes=4000))
+    assert seen[0] == seen[1] and 10 < len(seen[0]) < 60 and all(len(t) < 4000 for t, _ in seen[0])
+    rows = [(h, str(h), "en", 0, 10) for h in range(10)] + [(99, "99", "pl", 0, 10)]
+    assert langid.within(rows[::-1], {"en": 8, "pl": 1}, 45) == langid.within(rows, {"en": 8, "pl": 1}, 45) == [(0, "0", "en", 0), (99, "99", "pl", 0), (1, "1", "en", 0), (2, "2", "en", 0)]
