@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, small_batches, written
+from .common import columns, small_batches, unused, written
 
 WINDOW = 13
 #: Characters of windows in one automaton, at some 50 bytes each.
@@ -123,16 +123,16 @@ def _marker(key: tuple, shared, width: int):
     return run
 
 
-def mark(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, max_automaton_chars: int = MAX_AUTOMATON_CHARS) -> DataFrame:
-    """docs with a struct column ``found``: n_words, runs (first and end word, flat, merged), spans (start and end code point in the
-    original, flat), items (sorted as strings). A column of docs named ``found`` is replaced."""
+def mark(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, max_automaton_chars: int = MAX_AUTOMATON_CHARS, to: str = "found") -> DataFrame:
+    """docs with a struct column, named by ``to``: n_words, runs (first and end word, flat, merged), spans (start and end code point in the
+    original, flat), items (sorted as strings). A column of docs of that name is replaced."""
     spark = docs.sparkSession
     small_batches(spark)
     items = columns(items, item=item_col, text=item_text_col).select(F.col("item").cast("string"), "text").dropna().distinct()
     chars = items.select(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars * width // max_automaton_chars))
     kind = "n_words long, runs array<int>, spans array<int>, items array<string>"
-    out = docs.withColumn("found", F.expr("named_struct('n_words', 0L, 'runs', array(), 'spans', array(), 'items', array())").cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>"))
+    out = docs.withColumn(to, F.expr("named_struct('n_words', 0L, 'runs', array(), 'spans', array(), 'items', array())").cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>"))
     for block in range(blocks):
         part = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()]
         part.sort()
@@ -140,14 +140,14 @@ def mark(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col:
         shared = spark.sparkContext.broadcast(part)
 
         found = F.pandas_udf(_marker(key, shared, width), kind)
-        out = out.withColumn("found", found(F.col(f"`{text_col}`"), F.col("found")))
+        out = out.withColumn(to, found(F.col(f"`{text_col}`"), F.col(to)))
         if block + 1 < blocks:
             out = written(out, "decontaminate")
     return out
 
 
-def n_hit():
-    return F.expr("aggregate(sequence(0, size(found.runs) div 2 - 1), 0L, (n, i) -> n + found.runs[2 * i + 1] - found.runs[2 * i])")
+def n_hit(found: str = "found"):
+    return F.expr(f"aggregate(sequence(0, size({found}.runs) div 2 - 1), 0L, (n, i) -> n + {found}.runs[2 * i + 1] - {found}.runs[2 * i])")
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -163,10 +163,10 @@ def contaminated():
 
 def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs without the contaminated rows; the same columns."""
-    names = docs.columns
-    hit = F.when(F.size("found.runs") > 0, n_hit()).otherwise(F.lit(0).cast("long"))
-    rows = mark(docs, items, text_col=text_col)
-    return rows.where(~((hit > 0) & (20 * hit >= F.col("found.n_words")))).select(*[F.col(f"`{c}`") for c in names])
+    names, to = docs.columns, unused(docs, "found")
+    hit = F.when(F.size(f"{to}.runs") > 0, n_hit(to)).otherwise(F.lit(0).cast("long"))
+    rows = mark(docs, items, text_col=text_col, to=to)
+    return rows.where(~((hit > 0) & (20 * hit >= F.col(f"{to}.n_words")))).select(*[F.col(f"`{c}`") for c in names])
 
 
 ORACLE = """

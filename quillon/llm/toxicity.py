@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, crc_mod, gathered, sigmoid, small_batches
+from .common import columns, crc_mod, gathered, sigmoid, small_batches, unused
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 PIECE = 24
@@ -313,4 +313,5 @@ def clean(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") -> Data
     """docs without the rows that score 0.5 or more; the same columns."""
     names = docs.columns
     net = fit(docs, labels.where(crc_mod("doc_id", 5) != 0), text_col=text_col)
-    return score(docs, net, text_col=text_col, to="_toxicity").where("_toxicity < 0.5").select(*[F.col(f"`{c}`") for c in names])
+    to = unused(docs, "_toxicity")
+    return score(docs, net, text_col=text_col, to=to).where(F.col(to) < 0.5).select(*[F.col(f"`{c}`") for c in names])

@@ -663,3 +663,12 @@ def test_training_samples_do_not_depend_on_the_order_of_rows(spark, monkeypatch)
     assert seen[0] == seen[1] and 10 < len(seen[0]) < 60 and all(len(t) < 4000 for t, _ in seen[0])
     rows = [(h, str(h), "en", 0, 10) for h in range(10)] + [(99, "99", "pl", 0, 10)]
     assert langid.within(rows[::-1], {"en": 8, "pl": 1}, 45) == langid.within(rows, {"en": 8, "pl": 1}, 45) == [(0, "0", "en", 0), (99, "99", "pl", 0), (1, "1", "en", 0), (2, "2", "en", 0)]
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    item = prose(70, 30)
+    docs = frame(spark, [(1, prose(71, 50), 7, "t"), (2, item, 8, "u")], ", found long, _toxicity string")
+    kept = decontaminate.clean(docs, spark.createDataFrame([("i", item)], "item_id string, text string"))
+    assert [tuple(r) for r in kept.collect()] == [(1, prose(71, 50), 7, "t")] and kept.schema == docs.schema
+    kept = toxicity.clean(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
