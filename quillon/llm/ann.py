@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, small_batches, written
+from .common import bounded_batches, columns, written
 
 
 @dataclass(frozen=True)
@@ -160,7 +160,7 @@ def search(vectors: DataFrame, asked: DataFrame, k: int = 5, *, id_col: str = "v
     """query_id, rank, vec_id, score: for each row of asked its k nearest rows of vectors but its own."""
     s = settings or Settings()
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
+    bounded_batches(spark)
     base = usable(vectors, id_col, vector_col)
     rows = base.count()
     scale = 1 << 30

@@ -12,23 +12,28 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. A batch is what a Python worker holds at once, and one text can be megabytes long.
-BATCH_ROWS = 512
+#: Bytes of one Arrow batch: what a Python worker holds at once, unless a single row is larger.
+BATCH_BYTES = 8 << 20
+#: A key with more than one in so many of all rows is hot: there are fewer such keys than this, whatever the data.
+HOT = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the memory of Python workers by the rows of one Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what Python workers hold by bytes. It is one value for all operators, so plans may run in any order after they are built."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process."""
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = getattr(shared_dir, "own", None)
         if d is None:
             own = tempfile.mkdtemp(prefix="quillon-")
@@ -43,12 +48,45 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors. The table goes when the driver ends, or by
+    ``discard``; the shuffles that made it go at once."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    early = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(early)
+    spark.conf.set(early, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(early, before)
+    store, at = _store(spark, path)
+    store.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote, when nothing reads it any more."""
+    if path := getattr(df, "written_to", None):
+        store, at = _store(df.sparkSession, path)
+        store.delete(at, True)
+
+
+def joined_hot(rows: DataFrame, classes: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of classes: one row for each key, and in ``size`` how many rows have it. Hot keys are broadcast, a proven bound,
+    so that none of them fills a task; the others meet by a shuffle. Both tables are read twice and should be written ones."""
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HOT > total
+    often = classes.where(hot)
+    seldom = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(classes.where(~hot), key, how)
+    return rows.join(F.broadcast(often), key).unionByName(seldom)
 
 
 def gathered(df: DataFrame, parts: int = 16) -> Iterator:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, small_batches, unused, written
+from .common import bounded_batches, columns, unused, written
 
 WINDOW = 13
 #: Characters of windows in one automaton, at some 50 bytes each.
@@ -127,7 +127,7 @@ def mark(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col:
     """docs with a struct column, named by ``to``: n_words, runs (first and end word, flat, merged), spans (start and end code point in the
     original, flat), items (sorted as strings). A column of docs of that name is replaced."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     items = columns(items, item=item_col, text=item_text_col).select(F.col("item").cast("string"), "text").dropna().distinct()
     chars = items.select(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars * width // max_automaton_chars))

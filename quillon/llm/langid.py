@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, crc_mod, gathered, small_batches
+from .common import bounded_batches, columns, crc_mod, gathered
 
 UNDETERMINED = "und"
 
@@ -168,7 +168,7 @@ def within(rows: list, quota: dict[str, int], most_entries: int) -> list[tuple]:
 def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings | None = None) -> Model:
     """Document frequencies from every row of train, weights from a bounded sample of those with a language."""
     s = settings or Settings()
-    small_batches(train.sparkSession)
+    bounded_batches(train.sparkSession)
     rows = columns(train, id=id_col, text=text_col, lang=lang_col)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,7 +235,7 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; columns of those names are replaced."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import columns, fresh_dir, small_batches, written
+from .common import bounded_batches, columns, fresh_dir, written
 
 END = 50256
 CHUNK = 256
@@ -98,7 +98,7 @@ class Layout:
 
 def chunks(docs: DataFrame, length: int, *, text_col: str = "text", json_path: str = tokens.JSON, ranks_path: str = tokens.RANKS) -> DataFrame:
     """part, chunk, sequences, filled (ids that only fill up), ids (compressed)."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, pack = tokens.encoder(json_path, ranks_path).ids, zstandard.ZstdCompressor(level=3)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import columns, small_batches, written
+from .common import bounded_batches, columns, written
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Hash buckets within a length: this many, and more where a bucket would hold over BUCKET_ROWS pieces of all lengths.
@@ -152,7 +152,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, json_path: str = tokens.JSON, ranks_path: str = tokens.RANKS, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids, of every piece of every row."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     more = ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, small_batches
+from .common import bounded_batches, columns
 
 # The detectors' patterns and least lengths.
 KINDS = ("assign", "access", "hex", "random")
@@ -193,7 +193,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", q: float = 1e-3) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base (string), spans (string) of every row; q: the false-discovery level."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,7 +214,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", q:
 
 def redact(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", q: float = 1e-3) -> DataFrame:
     """docs with every span found replaced by the mask; null texts stay null, texts without a span stay as they are."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def clean(text: str | None) -> str | None:
         if not text or not (spans := all_spans(text, q)):

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, small_batches, written
+from .common import bounded_batches, columns, written
 
 LEAST, GRAM = 50, 20
 WINDOW = LEAST - GRAM + 1
@@ -247,7 +247,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int) -> Data
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES, with_spans: bool = False, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, spans (array of starts and ends, in bytes) and kept (binary) of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     units = packed(docs, id_col, text_col, unit_bytes)
     total = units.agg(F.sum("bytes")).first()[0] or 0
     bits = int(np.clip((-(-total // BUCKET_BYTES)).bit_length(), 6, 22))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, crc_mod, gathered, sigmoid, small_batches, unused
+from .common import bounded_batches, columns, crc_mod, gathered, sigmoid, unused
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 PIECE = 24
@@ -290,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, net: Network | None, *, text_col: str = "text", to: str = "score") -> DataFrame:
     """docs with a column of scores; a column of that name is replaced."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, fresh_dir, small_batches, written
+from .common import bounded_batches, columns, fresh_dir, written
 
 LEAST_BYTES = 100
 ARCHIVE_BYTES, BLOCK_ENTRIES, READ_BYTES = 64 << 20, 1000, 4 << 20
@@ -109,7 +109,7 @@ def decided(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, *, least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes all pages; the table of entries, not sorted."""
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = _fs(folder)
@@ -229,7 +229,7 @@ def read_index(index: DataFrame, folder: str) -> DataFrame:
 def fetch(entries: DataFrame, folder: str, *, with_payload: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload (null for a revisit) of each entry."""
     spark = entries.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
 
     def portions(batch: pd.DataFrame) -> Iterator[list[tuple[str, int, int]]]:
         part: list[tuple[str, int, int]] = []
