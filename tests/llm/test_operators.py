@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -188,6 +189,50 @@ def test_components_of_a_path_a_star_and_repeats(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
 
 
+def test_tries_match_brute_force_and_prune():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 62, 3000, dtype=np.uint64) * np.uint64(4) + r.integers(0, 4, 3000, dtype=np.uint64)
+    parts = [base]
+    for flips in range(1, 7):
+        x = base[:300].copy()
+        for _ in range(flips):
+            x ^= np.uint64(1) << r.integers(0, 64, len(x)).astype(np.uint64)
+        parts.append(x)
+    fps = np.unique(np.concatenate(parts))
+    i, j = np.triu_indices(len(fps), 1)
+    near = np.bitwise_count(fps[i] ^ fps[j]) <= 4
+    want = plain_roots(len(fps), zip(i[near].tolist(), j[near].tolist(), strict=True))
+    u, v, visited = simhash.joined_trie(np.zeros(len(fps), np.int64), fps, 64)
+    assert plain_roots(len(fps), zip(u.tolist(), v.tolist(), strict=True)) == want and len(u) < len(fps)
+    assert visited < 0.3 * len(i)
+    for classes, n in ((1, 5), (4096 << 12, 5), (10**9, 6), (10**11, 7)):
+        cut = simhash.blocks(classes)
+        assert len(cut) == n and sum(size for _, size in cut) == 64
+        edges = []
+        for agree in combinations(range(n), n - 4):
+            group = np.zeros(len(fps), np.uint64)
+            for k in agree:
+                group = (group << np.uint64(cut[k][1])) | ((fps >> np.uint64(cut[k][0])) & np.uint64((1 << cut[k][1]) - 1))
+            u, v, _ = simhash.joined_trie(np.unique(group, return_inverse=True)[1], simhash._rest(fps, cut, agree), 64 - sum(cut[k][1] for k in agree))
+            edges += zip(u.tolist(), v.tolist(), strict=True)
+        assert plain_roots(len(fps), edges) == want
+
+
+def plain_roots(n, edges):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
 # WARC.
 
 
@@ -432,8 +477,35 @@ def test_every_query_has_k_rows_on_clusters_with_outliers(spark):
     assert np.mean([len(set(got[int(q)]) & set(b.tolist())) / 5 for q, b in zip(far.nonzero()[0], best, strict=True)]) > 0.8
 
 
+def test_most_candidates_are_abandoned_before_the_last_column_block():
+    r = np.random.default_rng(8)
+    table = r.standard_normal((12_000, 64))
+    ids = np.arange(len(table))
+    s = ann.Settings(sample=4000)
+    index = ann.fit(table[:4000], ids[:4000], len(table), 5, s)
+    x, y = table[5000:5900], table[6000:6060]  # a list of 900 rows, 60 queries
+    first = index.first_bounds(y, ids[6000:6060], 5)
+    i, found, score, read = ann.scan(x, ids[5000:5900], y, ids[6000:6060], first, 5, index, s)
+    assert read[0] == 900 * 60 and read[-1] < 0.2 * read[0] and (np.diff(read) < 0).all()
+    best = {(a, b) for a, b in zip(i.tolist(), found.tolist(), strict=True)}
+    cos = ann.best_cosines(np.repeat(y, 900, axis=0), np.tile(x, (60, 1))).reshape(60, 900)
+    d = 2 - 2 * cos
+    near = {(a, int(b) + 5000) for a in range(60) for b in np.argsort(-cos[a], kind="stable")[:5] if d[a, b] <= first[a]}
+    assert len(near & best) >= 0.97 * len(near) and len(near) > 20
+    loose = ann.scan(x, ids[5000:5900], y, ids[6000:6060], np.full(60, np.inf), 5, index, s)
+    assert loose[3][-1] < 0.5 * loose[3][0]
+
+
+def test_queries_of_another_length_take_no_part(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, r.standard_normal(8).tolist()) for i in range(60)] + [(100 + i, r.standard_normal(5).tolist()) for i in range(20)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(table, table.where("vec_id >= 90 OR vec_id = 3")).collect()
+    assert {x["query_id"] for x in got} == {3} and all(x["vec_id"] < 60 for x in got) and len(got) == 5
+
+
 def test_probes_go_on_until_the_lists_hold_enough():
-    ix = ann.Index(np.eye(2), np.array([[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]]), 1, np.zeros(0), np.array([1]))
+    ix = ann.Index(np.eye(2), np.array([[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]]), 1, np.zeros(0), np.array([1]), np.ones(0), np.zeros((0, 2)), np.zeros(0, np.int64))
     assert [p.tolist() for p in ix.probed(np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([2, 3, 50]), 6)] == [[0, 1, 2], [2]]
 
 
