@@ -7,12 +7,17 @@ Index: keys are URLs with the host reversed, so that a site's pages lie together
 partition becomes one index file of compressed blocks and, at its end, a sparse directory of the blocks' first keys. The table of index
 files has the first key of each. A lookup binary-searches that table, then a directory, then one block, and range-reads the record.
 
-Reading all records back goes through the index as well: blocks are decoded in parallel, entries are dealt out by archive and sorted by
-offset, and neighbours are fetched in one range read.
+Many keys at once (``locate``) are resolved the same way: each key is searched in the table of index files, which has a row a file and so
+is bounded by the number of partitions; keys are dealt out by file, sorted, and searched in its directory and blocks, each read once. A key
+that a third of all pages have lies in many files, and no task gets more than a file's part of it. Entries found are dealt out by archive
+and sorted by offset, and neighbours are fetched in one range read. Reading all records back resolves every page's key.
 
 Files go through ``pyarrow.fs``, so that the folder can be local, shared or in an object store. Each task attempt writes files of its
 own name and their entries are kept in a written table: attempts that are lost or repeated leave files that nothing refers to.
 
+Which records are revisits is decided by digest: digests of more than one in ``HOT`` pages are broadcast, others meet by a shuffle, in which
+pages below ``least`` bytes and those of hot digests are spread.
+
 Defined results: null html is an empty payload; rows that repeat the smallest page_id of a payload are all responses; a null page_id is never
 the smallest unless all are null; a page without a URL has the key "-"; other columns are ignored.
 """
@@ -33,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns, fresh_dir, written
+from .common import HOT, bounded_batches, columns, fresh_dir, written
 
 LEAST_BYTES = 100
 ARCHIVE_BYTES, BLOCK_ENTRIES, READ_BYTES = 64 << 20, 1000, 4 << 20
@@ -102,9 +107,16 @@ def _attempt() -> str:
 def decided(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """page_id, url, html, digest, first (the response's page_id, null for a response)."""
     rows = pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha2("html", 256))
-    firsts = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    both = rows.join(firsts, "digest", "left")
-    return both.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    large = F.octet_length("html") >= least
+    firsts = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = written(firsts, "responses")
+    hot = F.col("n") * HOT > (firsts.agg(F.sum("n")).first()[0] or 0)
+    often = F.broadcast(firsts.where(hot).select("digest", F.col("first").alias("hot_first"), F.lit(True).alias("hot")))
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url"))  # meets nothing
+    marked = rows.join(often, "digest", "left").withColumn("meets", F.when(large & F.col("hot").isNull(), F.col("digest")).otherwise(alone))
+    both = marked.join(firsts.where(~hot).select(F.col("digest").alias("meets"), "first"), "meets", "left")
+    first = F.when(large, F.coalesce("hot_first", "first"))
+    return both.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(first), first).alias("first"))
 
 
 def write_archives(pages: DataFrame, folder: str, *, least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -181,9 +193,36 @@ def _directory(f) -> list[tuple[str, int, int, int]]:
     return [tuple(x) for x in json.loads(zlib.decompress(f.read(n)))]
 
 
-def _block(f, at: int, n: int) -> list[tuple[str, list]]:
+def _block(f, at: int, n: int) -> tuple[list[str], list[str]]:
+    """Keys of a block, and what follows them."""
     f.seek(at)
-    return [((x := line.split(" ", 1))[0], json.loads(x[1])) for line in zlib.decompress(f.read(n)).decode().split("\n")]
+    lines = [line.split(" ", 1) for line in zlib.decompress(f.read(n)).decode().split("\n")]
+    return [x[0] for x in lines], [x[1] for x in lines]
+
+
+def _may_hold(firsts: list[str], key: str) -> range:
+    """Places of the sorted ranges, told by their first keys, that may hold a key."""
+    return range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key))
+
+
+class IndexFile:
+    """One open index file: its directory, and the block read last."""
+
+    def __init__(self, store: pafs.FileSystem, path: str):
+        self.file = store.open_input_file(path)
+        self.blocks = _directory(self.file)
+        self.firsts = [b[0] for b in self.blocks]
+        self.at, self.held, self.reads = -1, ([], []), 0
+
+    def entries(self, key: str) -> Iterator[list]:
+        """[page_id, archive, offset, length, kind] of each entry of the key: a binary search in the directory, then in the block."""
+        for k in _may_hold(self.firsts, key):
+            if k != self.at:
+                _, at, n, _ = self.blocks[k]
+                self.at, self.held, self.reads = k, _block(self.file, at, n), self.reads + 1
+            keys, rest = self.held
+            for i in range(bisect.bisect_left(keys, key), bisect.bisect_right(keys, key)):
+                yield json.loads(rest[i])
 
 
 def lookup(index: DataFrame, index_folder: str, archive_folder: str, url: str) -> list[tuple[dict[str, str], dict[str, str], bytes]]:
@@ -192,24 +231,60 @@ def lookup(index: DataFrame, index_folder: str, archive_folder: str, url: str) -
     files = sorted((r["first"], r["file"]) for r in index.where(F.col("first") <= key).select("first", "file").collect())
     store, path = _fs(index_folder)
     archives, archive_path = _fs(archive_folder)
-    for first, name in reversed(files):
-        with store.open_input_file(f"{path}/{name}") as f:
-            blocks = _directory(f)
-            firsts = [b[0] for b in blocks]
-            for b in blocks[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]:
-                lines = _block(f, b[1], b[2])
-                at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                while at < len(lines) and lines[at][0] == key:
-                    _, archive, offset, length, _ = lines[at][1]
-                    with archives.open_input_file(f"{archive_path}/{archive}") as a:
-                        a.seek(offset)
-                        found.append(parsed(a.read(length)))
-                    at += 1
-        if first < key:
-            break
+    for k in _may_hold([x[0] for x in files], key):
+        for _, archive, offset, length, _ in IndexFile(store, f"{path}/{files[k][1]}").entries(key):
+            with archives.open_input_file(f"{archive_path}/{archive}") as a:
+                a.seek(offset)
+                found.append(parsed(a.read(length)))
     return found
 
 
+def keys(pages: DataFrame, *, url_col: str = "url") -> DataFrame:
+    """key of every page's URL, each once."""
+
+    @F.pandas_udf("string")
+    def run(urls: pd.Series) -> pd.Series:
+        return pd.Series([url_key(u) for u in urls], dtype=object)
+
+    return columns(pages, url=url_col).select(run("url").alias("key")).distinct()
+
+
+def locate(wanted: DataFrame, index: DataFrame, folder: str) -> DataFrame:
+    """All entries of the keys in wanted (key, each once)."""
+    spark = wanted.sparkSession
+    files = sorted((r["first"], r["file"]) for r in index.select("first", "file").collect())  # a row a partition of the index
+    shared = spark.sparkContext.broadcast(([x[0] for x in files], [x[1] for x in files]))
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        firsts, names = shared.value
+        for batch in batches:
+            yield pd.DataFrame([(names[k], key) for key in batch["key"] for k in _may_hold(firsts, key)], columns=["file", "key"])
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, path = _fs(folder)
+        name, held, rows = None, None, []
+
+        def out() -> pd.DataFrame:
+            got = pd.DataFrame(rows, columns=["key", "page_id", "archive", "offset", "length", "kind"]).astype({"page_id": "Int64"})
+            rows.clear()
+            return got
+
+        for batch in batches:
+            for file, key in zip(batch["file"], batch["key"], strict=True):
+                if file != name:
+                    name, held = file, IndexFile(store, f"{path}/{file}")
+                for entry in held.entries(key):
+                    rows.append((key, *entry))
+                    if len(rows) == 10_000:
+                        yield out()
+        if rows:
+            yield out()
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_file = wanted.mapInPandas(dealt, "file string, key string").repartition(parts, "file").sortWithinPartitions("file", "key")
+    return by_file.mapInPandas(search, ENTRY)
+
+
 def read_index(index: DataFrame, folder: str) -> DataFrame:
     """All entries, decoded from the blocks of all index files in parallel."""
 
@@ -219,7 +294,7 @@ def read_index(index: DataFrame, folder: str) -> DataFrame:
             for name in batch["file"]:
                 with store.open_input_file(f"{path}/{name}") as f:
                     for _, at, n, _ in _directory(f):
-                        rows = [(key, *x) for key, x in _block(f, at, n)]
+                        rows = [(key, *json.loads(x)) for key, x in zip(*_block(f, at, n), strict=True)]
                         yield pd.DataFrame(rows, columns=["key", "page_id", "archive", "offset", "length", "kind"]).astype({"page_id": "Int64"})
 
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -271,7 +346,7 @@ def digest(spark: SparkSession, pages: DataFrame) -> DataFrame:
     folder = fresh_dir(spark, "warc")
     entries = write_archives(pages, f"{folder}/archives")
     index = build_index(entries, f"{folder}/index")
-    return fetch(read_index(index, f"{folder}/index"), f"{folder}/archives")
+    return fetch(locate(keys(pages), index, f"{folder}/index"), f"{folder}/archives")
 
 
 ORACLE = """

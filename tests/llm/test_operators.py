@@ -250,7 +250,9 @@ def test_archives_round_trip_through_the_index(spark, pages, tmp_path):
     index = warc.build_index(entries, f"{folder}/i", block_entries=5)
     assert len(list((tmp_path / "a").iterdir())) > 3
     assert [r["key"] for r in warc.read_index(index, f"{folder}/i").orderBy("key").collect()] == sorted(warc.url_key(r["url"]) for r in pages.collect())
-    got = warc.fetch(warc.read_index(index, f"{folder}/i"), f"{folder}/a", with_payload=True).collect()
+    found = warc.locate(warc.keys(pages), index, f"{folder}/i")
+    assert collections.Counter(found.collect()) == collections.Counter(entries.collect())
+    got = warc.fetch(found, f"{folder}/a", with_payload=True).collect()
     rows = pages.collect()
     assert len(got) == len(rows)
     first = {}
@@ -274,6 +276,23 @@ def test_archives_round_trip_through_the_index(spark, pages, tmp_path):
     assert warc.lookup(index, f"{folder}/i", f"{folder}/a", "http://nowhere.example/") == []
 
 
+def test_a_key_of_many_pages_spans_files_and_blocks_are_read_once(spark, tmp_path):
+    rows = [(i, "http://hot.org/" if i % 3 else f"http://p{i:04d}.org/", "x" * (i % 7)) for i in range(600)] + [(1000 + i, None, "y") for i in range(90)]
+    folder = f"file://{tmp_path}"
+    entries = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{folder}/a")
+    index = warc.build_index(entries, f"{folder}/i", block_entries=10)
+    hot = warc.url_key("http://hot.org/")
+    asked = spark.createDataFrame([(k,) for k in (hot, "-", warc.url_key("http://p0003.org/"), "absent)/", "zz")], "key string")
+    got = collections.Counter(r["key"] for r in warc.locate(asked, index, f"{folder}/i").collect())
+    assert got == {hot: 400, "-": 90, warc.url_key("http://p0003.org/"): 1}
+    assert index.where(F.col("first") == hot).count() >= 1
+    file = max((tmp_path / "i").glob("*.cdx"), key=lambda p: p.stat().st_size)
+    held = warc.IndexFile(*warc._fs(f"file://{file}"))
+    names = [k for _, at, n, _ in held.blocks for k in warc._block(held.file, at, n)[0]]
+    found = [(k, *e) for k in sorted(set(names)) for e in held.entries(k)]
+    assert [x[0] for x in found] == names and held.reads <= len(held.blocks) + len(set(names))
+
+
 def test_url_keys_reverse_the_host():
     assert warc.url_key("https://Www.Example.com:8080/a?b=c#d") == "com,example,www:8080)/a?b=c"
     assert warc.url_key("http://example.org") == "org,example)/"
