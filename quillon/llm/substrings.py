@@ -1,21 +1,25 @@
 """Removal of repeated substrings: every byte of a 50-byte string that also starts in a document with a smaller id.
 
-Which strings repeat is decided on a Burrows-Wheeler transform. Breadth-first backward extension from the empty string visits intervals of
-equal prefixes by increasing length; the first interval to end at a place of the order gives the common prefix there. The search stops at
-the minimum length, so that what is still open then parts no two strings that agree on 50 bytes. The transform needs the order of
-suffixes by their first 50 bytes only, and only texts that may hold a repeat are transformed:
+Which strings repeat is decided on a Burrows-Wheeler transform. Suffixes are put in order by prefix doubling, until no two are equal; the
+symbols before them are the transform. Breadth-first backward extension from the empty string visits intervals of equal prefixes by
+increasing length; the first interval to end at a place of the order gives the common prefix there. The search stops at the minimum
+length, so that what is still open then parts no two strings that agree on 50 bytes: these are one class, and its least id is what each of
+its strings is held against. Only texts that may hold a repeat are transformed:
 
 1. Documents are packed once, compressed, into *units* of a few megabytes, written to the shared folder. All later steps deal in units.
 2. Every 50-byte string has an anchor, the least hash of its 20-byte strings, and equal strings have equal anchors. Strings in a row with
    one anchor form a *run*. Units send each distinct anchor once, with a count; a shuffle by anchor finds those in two documents or more.
-3. Units join their repeated anchors and send the text of those runs, one of equal runs in a unit (that of the smallest id; the others are
-   settled there), to the shuffle by anchor. A task settles equal runs again, and transforms the rest in blocks of bounded size. Runs of
-   a very frequent anchor are sent string by string and dealt by the string instead, so that no anchor fills a task.
+3. Units join their repeated anchors and send the text of those runs to the shuffle by anchor. Equal runs, found by a hash and then
+   compared byte by byte, are sent once, with their least id, and enter the transform once. A task transforms all its runs in blocks of
+   bounded size, runs of one anchor together. Runs of a very frequent anchor are sent string by string and dealt by the string instead, so
+   that no anchor fills a task.
 4. The strings found go back to their units, which count and hash what stays of each document.
 
+Buckets of the shuffle are as many as the input asks for, and each is held alone, one after another where a task has several.
+
 Defined results: null and empty texts have no bytes; rows of one id never remove each other's bytes, repeated rows get equal results; rows with
-a null id keep all bytes and remove none; matches don't cross documents; other columns are ignored. A 64-bit hash, compared only among
-runs with the same 64-bit anchor and length, stands for a run's text when equal runs are settled.
+a null id keep all bytes and remove none; matches don't cross documents; other columns are ignored. Ids are whole numbers; other types are
+refused.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ from .common import bounded_batches, columns, written
 
 LEAST, GRAM = 50, 20
 WINDOW = LEAST - GRAM + 1
-UNIT_BYTES, BUCKET_BYTES, BLOCK_BYTES, SLICE = 4 << 20, 4 << 20, 1 << 18, 1 << 18
+UNIT_BYTES, BUCKET_BYTES, BLOCK_BYTES, SLICE = 4 << 20, 2 << 20, 1 << 18, 1 << 18
+#: Tasks of a shuffle at most; beyond, a task has several buckets.
+MOST_PARTS = 1 << 15
 #: Runs of an anchor in the corpus beyond which they are sent string by string.
 FREQUENT = 2000
 U = np.uint64
@@ -126,25 +132,58 @@ class Unit:
         first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
         lead = np.empty(len(order), np.int64)
         lead[order] = first
+        size = r["windows"] + LEAST - 1
+        lead[unlike(self.bytes, r["start"], size, lead)] = -1
+        lead = np.where(lead < 0, np.arange(len(lead)), lead)
         return r | {"id": ids, "lead": lead}
 
 
+def unlike(text: np.ndarray, start: np.ndarray, size: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The runs whose bytes aren't those of their lead, which has the same size."""
+    copies = np.flatnonzero(lead != np.arange(len(lead)))
+    cuts, out, at = np.cumsum(size[copies]), [np.zeros(0, np.int64)], 0
+    while at < len(copies):
+        to = max(at + 1, int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + SLICE)))
+        part = copies[at:to]
+        n = size[part]
+        differ = text[ranges(start[part], n)] != text[ranges(start[lead[part]], n)]
+        out.append(part[np.logical_or.reduceat(differ, np.cumsum(n) - n)])
+        at = to
+    return np.concatenate(out)
+
+
+def suffix_order(s: np.ndarray) -> np.ndarray:
+    """The order of the rotations of s (symbols below 256; UTF-8 has fewer), by prefix doubling on those that aren't told apart yet."""
+    n = len(s)
+    k = s.astype(U)
+    for width in (1, 2, 4):
+        k = (k << U(8 * width)) | np.roll(k, -width)
+    order = np.argsort(k, kind="stable")
+    new = np.r_[True, k[order][1:] != k[order][:-1]]
+    rank = np.empty(n, np.int64)  # the first place of the rotations that are equal so far
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    tied = ~new | np.r_[~new[1:], False]
+    at, width = order[tied], 8
+    while len(at) and width < n:
+        old = rank[at]
+        key = (old.astype(U) << U(32)) | rank[(at + width) % n].astype(U)
+        by = np.argsort(key, kind="stable")
+        at, old, key = at[by], old[by], key[by]
+        new = np.r_[True, key[1:] != key[:-1]]
+        places = np.arange(len(at))
+        group = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], places, 0))
+        rank[at] = old + np.maximum.accumulate(np.where(new, places, 0)) - group
+        at = at[~new | np.r_[~new[1:], False]]
+        width *= 2
+    return np.argsort(rank, kind="stable")
+
+
 def repeated_prefixes(text: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """order, group: the positions of text (symbols, read in a circle) by their first ``least`` symbols, and for each place of the order the
     number of its class of equal first ``least`` symbols."""
     n = len(text)
-    used = np.unique(text)
-    s = np.searchsorted(used, text).astype(np.int64)
-    # The order of suffixes by their first symbols, from ranks of 8, 16 and so on.
-    k = s.astype(U)
-    for width in (1, 2, 4):
-        k = (k << U(8 * width)) | np.roll(k, -width)
-    length, rank = 8, np.unique(k, return_inverse=True)[1]
-    while length < least:
-        step = min(length, least - length)
-        rank = np.unique((rank.astype(U) << U(32)) | np.roll(rank, -step).astype(U), return_inverse=True)[1]
-        length += step
-    order = np.argsort(rank, kind="stable")
+    s = np.searchsorted(np.unique(text), text).astype(np.int64)
+    order = suffix_order(s)
     bwt = s[order - 1]
     by_symbol = np.argsort(bwt, kind="stable")  # places of the transform by symbol: the j-th is where the j-th suffix comes from
     back = np.empty(n, np.int64)
@@ -174,42 +213,53 @@ def settled(anchor: np.ndarray, hash_: np.ndarray, windows: np.ndarray, ids: np.
     """For every string of every run (one after another) whether a smaller id has it too."""
     n = len(anchor)
     base = np.cumsum(windows) - windows
-    out = np.zeros(int(windows.sum()), bool)
+    least = np.empty(int(windows.sum()), np.int64)
     order = np.lexsort((ids, hash_, windows, anchor))
-    same_anchor = np.r_[False, anchor[order][1:] == anchor[order][:-1]]
-    same = same_anchor & np.r_[False, (hash_[order][1:] == hash_[order][:-1]) & (windows[order][1:] == windows[order][:-1])]
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(n))) if n else np.zeros(0, np.int64)
-    lead = order[head]  # of each run in the order
-    family = np.cumsum(~same_anchor) - 1
-    texts = np.bincount(family, weights=~same) if n else np.zeros(0)
-    todo = order[~same & (texts[family] > 1)] if n else order  # runs with the anchor of a run of other text
-    sizes = (windows + LEAST - 1)[todo]
-    fams = family[~same & (texts[family] > 1)] if n else family
+    same = np.zeros(n, bool)
+    same[1:] = np.all([k[order][1:] == k[order][:-1] for k in (anchor, windows, hash_)], axis=0)
+    lead = np.empty(n, np.int64)
+    lead[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(n)))] if n else order
+    lead[unlike(text, offsets, windows + LEAST - 1, lead)] = -1
+    lead = np.where(lead < 0, np.arange(n), lead)
+    todo = order[lead[order] == order]  # each text once, with its least id, by anchor
+    sizes, family = (windows + LEAST)[todo], anchor[todo]
+    ends = np.r_[np.flatnonzero(family[1:] != family[:-1]) + 1, len(todo)]  # where runs of one anchor end
     at = 0
     while at < len(todo):
-        to = int(np.searchsorted(np.cumsum(sizes[at:] + 1), BLOCK_BYTES)) + at + 1
-        to = min(len(todo), int(np.searchsorted(fams, fams[min(to, len(todo)) - 1], side="right")))  # whole families
+        to = int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK_BYTES)) + at + 1
+        to = int(ends[np.searchsorted(ends, min(to, len(todo)))])
         part = todo[at:to]
         size = windows[part] + LEAST - 1
         start = np.cumsum(size + 1) - size - 1
-        block = np.zeros(int((size + 1).sum()), np.int64)
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        block[np.repeat(start, size) + inside] = text[np.repeat(offsets[part], size) + inside].astype(np.int64) + 1
+        block = np.zeros(int((size + 1).sum()), np.int64)  # a mark after each run
+        block[ranges(start, size)] = text[ranges(offsets[part], size)].astype(np.int64) + 1
         doc = np.full(len(block), np.iinfo(np.int64).max)
-        w = windows[part]
-        within = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        mine = np.repeat(start, w) + within
-        doc[mine] = np.repeat(ids[part], w)
+        mine = ranges(start, windows[part])
+        doc[mine] = np.repeat(ids[part], windows[part])
         places, group = repeated_prefixes(block)
-        least = np.minimum.reduceat(doc[places], np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))
+        by_class = np.minimum.reduceat(doc[places], np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))
         smallest = np.empty(len(block), np.int64)
-        smallest[places] = least[group]
-        out[np.repeat(base[part], w) + within] = smallest[mine] < np.repeat(ids[part], w)
+        smallest[places] = by_class[group]
+        least[ranges(base[part], windows[part])] = smallest[mine]
         at = to
-    for k in np.flatnonzero(same):
-        run, first = order[k], lead[k]
-        out[base[run] : base[run] + windows[run]] = True if ids[run] > ids[first] else out[base[first] : base[first] + windows[first]]
-    return out
+    return least[ranges(base[lead], windows)] < np.repeat(ids, windows)
+
+
+def _one_by_one(run):
+    """Of a partition whose rows are sorted by bucket, each bucket whole."""
+
+    def all_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for bucket, part in batch.groupby("bucket", sort=True):
+                if held and held[-1]["bucket"].iloc[0] != bucket:
+                    yield run(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(part)
+        if held:
+            yield run(pd.concat(held, ignore_index=True))
+
+    return all_
 
 
 def _split(buckets: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
@@ -240,6 +290,9 @@ def packed(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int) -> Data
         if texts:
             yield row()
 
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; ids are whole numbers")
     rows = columns(docs, id=id_col, text=text_col).select(F.col("id").cast("long").cast("string").alias("id"), "text")
     return written(rows.mapInPandas(run, "unit long, bytes long, ids binary, known binary, lengths binary, data binary"), "units")
 
@@ -250,7 +303,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", un
     bounded_batches(spark)
     units = packed(docs, id_col, text_col, unit_bytes)
     total = units.agg(F.sum("bytes")).first()[0] or 0
-    bits = int(np.clip((-(-total // BUCKET_BYTES)).bit_length(), 6, 22))
+    bits = int(np.clip((total // BUCKET_BYTES).bit_length(), 2, 22))
     shift, low = U(64 - bits), U((1 << 40) - 1)
     link = "unit long, bucket int, data binary"
 
@@ -367,11 +420,15 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", un
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans", "kept"] * with_spans
         return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    found = units.select("unit", "ids", "known", "lengths", "data").mapInPandas(anchors, link).groupBy("bucket").applyInPandas(common, link)
-    repeated = written(found, "anchors")
+    def dealt(rows: DataFrame, by_bucket) -> DataFrame:
+        parts = min(1 << bits, MOST_PARTS)
+        return rows.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInPandas(_one_by_one(by_bucket), link)
+
+    found = units.select("unit", "ids", "known", "lengths", "data").mapInPandas(anchors, link)
+    repeated = written(dealt(found, common), "anchors")
     whole = units.select("unit", "ids", "known", "lengths", "data")
     sent = whole.groupBy("unit").cogroup(repeated.groupBy("unit")).applyInPandas(send, link)
-    decided = sent.groupBy("bucket").applyInPandas(decide, link)
+    decided = dealt(sent, decide)
     more = ", spans array<int>, kept binary" if with_spans else ""
     return whole.groupBy("unit").cogroup(repeated.unionByName(decided).groupBy("unit")).applyInPandas(results, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
 

@@ -441,6 +441,25 @@ def test_expansion_finds_equal_prefixes():
         assert all(len(g) == 1 for g in by.values()) and len(by) == group[-1] + 1
 
 
+def test_suffixes_are_in_full_order():
+    r = np.random.default_rng(2)
+    for n, symbols in ((1, 2), (40, 2), (300, 3), (300, 200)):
+        a = r.integers(0, symbols, n)
+        a[n // 2 :] = a[: n - n // 2] if symbols == 3 else a[n // 2 :]
+        order = substrings.suffix_order(a)
+        turned = [np.roll(a, -p).tolist() for p in order]
+        assert sorted(order.tolist()) == list(range(n)) and turned == sorted(turned)
+
+
+def test_runs_of_equal_hash_and_other_text_are_told_apart():
+    a, b = b"x" * 30 + b"abcdefghijklmnopqrstuvwxyz", b"y" * 30 + b"abcdefghijklmnopqrstuvwxyz"
+    text = np.frombuffer(a + b + a, np.uint8)
+    n = np.full(3, len(a) - 49)
+    one = np.zeros(3, np.uint64)
+    got = substrings.settled(one, one, n, np.array([5, 6, 7]), np.array([0, 56, 112]), text).reshape(3, -1)
+    assert not got[0].any() and not got[1].any() and got[2].all()
+
+
 # Nearest neighbours.
 
 
