@@ -1,9 +1,11 @@
 """Token-id output in training order: a keyed Feistel permutation gives every sequence a global slot, and shards hold ranges of slots.
 
-1. Each task turns its documents into ids, each document closed by an end mark, and cuts the stream into sequences of ``length`` ids (the
-   last of a task is filled up with end marks). Chunks of sequences are written once, compressed, to the shared folder.
-2. All chunks of a task but its last hold as many sequences, so a sequence's number follows from its task's base, chunk and place. Bases
-   are a running sum over one count a task.
+1. Documents are dealt into ranges by a hash of id and text, about ``RANGE_ROWS`` to a range, and sorted by it, so that what follows doesn't
+   depend on how Spark splits the input: another run, or one on other machines, gives the same sequences in the same slots.
+2. A task turns the documents of a range into ids, each document closed by an end mark, and cuts the stream into sequences of ``length`` ids
+   (the last of a range is filled up with end marks). Chunks of sequences are written once, compressed, to the shared folder. All chunks of
+   a range but its last hold as many sequences, so a sequence's number follows from its range's base, chunk and place. Bases are a running
+   sum over one count a range.
 3. Number n goes to slot P(n), where P is a balanced Feistel network on the least even number of bits that holds all numbers, applied again
    until the result is below their count (cycle-walking): a bijection that needs no table, no shuffle of keys and no state, and can be
    inverted. Another key gives another epoch's order.
@@ -13,8 +15,8 @@
 
 Files are written under an attempt's name and moved, so a repeated task replaces a file by an equal one.
 
-Defined results: null and empty texts contribute their end mark; no documents give no sequences; repeated rows are kept; other columns
-and ids are ignored.
+Defined results: null and empty texts contribute their end mark; no documents give no sequences; repeated rows are kept, side by side; null
+ids are an id like others; a vocabulary with ids beyond 16 bits is refused; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ from .common import bounded_batches, columns, fresh_dir, written
 
 END = 50256
 CHUNK = 256
-#: Tasks of the first step up to which their bases, 12 bytes each, are broadcast; beyond, they are joined by a shuffle.
+#: Documents of a range, on average, and ranges at most: a range is a task.
+RANGE_ROWS, MOST_RANGES = 4096, 1 << 15
+#: Ranges up to which their bases, 12 bytes each, are broadcast; beyond, they are joined by a shuffle.
 MOST_TASKS = 1_000_000
 #: Ids of one chunk help to compress the single sequences on their way to the shards.
 DICTIONARY_BYTES = 1 << 16
@@ -96,13 +100,13 @@ class Layout:
         return f"shard-{shard:08d}.bin"
 
 
-def chunks(docs: DataFrame, length: int, *, text_col: str = "text", json_path: str = tokens.JSON, ranks_path: str = tokens.RANKS) -> DataFrame:
+def chunks(docs: DataFrame, length: int, *, id_col: str = "doc_id", text_col: str = "text", json_path: str = tokens.JSON, ranks_path: str = tokens.RANKS) -> DataFrame:
     """part, chunk, sequences, filled (ids that only fill up), ids (compressed)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, pack = tokens.encoder(json_path, ranks_path).ids, zstandard.ZstdCompressor(level=3)
-        part, chunk, held, n, full = TaskContext.get().partitionId(), 0, [], 0, CHUNK * length
+        part, chunk, held, n, full = TaskContext.get().partitionId(), 0, [], 0, CHUNK * length  # a partition is a range
 
         def row(ids: np.ndarray, filled: int) -> tuple:
             return part, chunk, len(ids) // length, filled, pack.compress(ids.tobytes())
@@ -110,7 +114,10 @@ def chunks(docs: DataFrame, length: int, *, text_col: str = "text", json_path: s
         names = ["part", "chunk", "sequences", "filled", "ids"]
         for batch in batches:
             for text in batch["text"]:
-                ids = np.append(encode(text), np.uint32(END)).astype("<u2")
+                ids = np.append(encode(text), np.uint32(END))
+                if ids.max() > 0xFFFF:
+                    raise ValueError(f"id {ids.max()} doesn't fit into 16 bits")
+                ids = ids.astype("<u2")
                 held.append(ids)
                 n += len(ids)
                 if n >= full:
@@ -125,7 +132,11 @@ def chunks(docs: DataFrame, length: int, *, text_col: str = "text", json_path: s
             filled = -n % length
             yield pd.DataFrame([row(np.concatenate([*held, np.full(filled, END, "<u2")]), filled)], columns=names)
 
-    return columns(docs, text=text_col).mapInPandas(run, "part int, chunk int, sequences int, filled int, ids binary")
+    rows = columns(docs, id=id_col, text=text_col)
+    ranges = min(MOST_RANGES, max(1, -(-rows.count() // RANGE_ROWS)))
+    keyed = rows.select("id", "text", F.xxhash64("id", "text").alias("h")).withColumn("range", F.pmod(F.xxhash64("h"), F.lit(ranges)).cast("int"))
+    ordered = keyed.repartitionById(ranges, "range").sortWithinPartitions("h", "id", F.xxhash64("text", F.lit(5)))
+    return ordered.select("text").mapInPandas(run, "part int, chunk int, sequences int, filled int, ids binary")
 
 
 def materialise(docs: DataFrame, folder: str, *, key: int, length: int = 2048, shard_bytes: int = 16 << 20, **options) -> tuple[DataFrame, Layout]:

@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     h = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(scale))
     share = {y: min(scale, int(scale * most[y] / max(1, n.get(y, 0)))) for y in (0, 1)}
     chosen = known.where(((F.col("y") == 1) & (h < share[1])) | ((F.col("y") == 0) & (h < share[0])))
-    picked = [(r["id"], r["y"]) for r in chosen.limit(2 * s.max_train_docs).collect()]
+    picked = [(r["id"], r["y"]) for r in chosen.orderBy(h, "id").limit(2 * s.max_train_docs).collect()]
     if not picked:
         return None
     ids = spark.createDataFrame(picked, chosen.schema)
