@@ -18,6 +18,12 @@ def squared_distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", d, d)
 
 
+def products(x: np.ndarray, qs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances, queries x rows, by one matrix product, and for each query by how much they may be wrong."""
+    x2, q2 = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", qs, qs)
+    return q2[:, None] + x2 - 2 * (qs @ x.T), 2e-15 * x.shape[1] * (q2 + (x2.max() if len(x2) else 0.0))
+
+
 def paa(x: np.ndarray, segments: int) -> np.ndarray:
     step = x.shape[1] // segments
     return x[:, : step * segments].reshape(len(x), segments, step).mean(axis=2)

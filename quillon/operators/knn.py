@@ -1,5 +1,8 @@
 """The k nearest series of each query: brute force, and filter-and-refine with lower bounds.
 
+Distances are first told by a matrix product of a batch and the queries, with a bound of its error; differences, which don't cancel, are
+taken for the few rows that may be among the nearest.
+
 A scan runs over the data once for a block of queries. The block goes to the workers; its size is checked, and a larger query table is taken
 in blocks, one after another, so that nothing broadcast grows with the data. Every task keeps the k best of each query so far and tightens
 its bound as it reads, and only these leave it; a window then keeps the k best of all. With a summary, rows whose lower bound passes the
@@ -25,6 +28,8 @@ from ..functions import arrays
 
 #: Numbers of the query table that are broadcast at once (8 bytes each).
 BLOCK_NUMBERS = 4_000_000
+#: Queries that meet a batch in one matrix product.
+TILE = 256
 #: Rows that a first bound is found on.
 SEED_ROWS = 1024
 
@@ -70,6 +75,10 @@ class FourierSummary:
     def lower(self, q: np.ndarray, held: np.ndarray) -> np.ndarray:
         return 2 * arrays.squared_distances(held, self.of(q[None])[0])
 
+    def lower_all(self, qs: np.ndarray, held: np.ndarray) -> np.ndarray:
+        d, wrong = arrays.products(held, self.of(qs))
+        return 2 * (d - wrong[:, None])
+
 
 class SegmentSummary:
     """Mean and deviation of equal segments."""
@@ -115,6 +124,12 @@ class Best:
         self.k, self.bound = k, bound
         self.d, self.ids = np.zeros(0), np.zeros(0, np.int64)
 
+    def limit(self, epsilon: float, enough: float) -> float:
+        """What a lower bound may be at most."""
+        if len(self.d) < self.k or not (epsilon or enough):
+            return self.bound
+        return -1.0 if self.d[-1] <= enough * (1 + epsilon) else min(self.bound, self.d[-1] / (1 + epsilon))
+
     def offer(self, d: np.ndarray, ids: np.ndarray) -> None:
         near = d <= self.bound
         if near.any():
@@ -125,10 +140,28 @@ class Best:
                 self.bound = min(self.bound, self.d[-1])
 
 
-def scan(data: DataFrame, block: Queries, k: int, *, id_col: str, vector_col: str, summary: Summary | None = None, exclude_self: bool = False, radius: float | None = None, bounds: np.ndarray | None = None, distance=None) -> DataFrame:
+def offer_near(best: list[Best], x: np.ndarray, ids: np.ndarray, qs: np.ndarray, live: np.ndarray | None = None) -> None:
+    """Offers each query the rows of x that may be among its nearest; live: queries x rows that count."""
+    for at in range(0, len(qs), TILE):
+        some = slice(at, at + TILE)
+        d, wrong = arrays.products(x, qs[some])
+        if live is not None:
+            d[~live[some]] = np.inf
+        for i, b in enumerate(best[some]):
+            near = np.flatnonzero(d[i] <= b.bound + wrong[i])
+            if len(near) > 4 * b.k:
+                kth = np.partition(d[i, near], b.k - 1)[b.k - 1]
+                near = near[d[i, near] <= kth + 2 * wrong[i]]
+            near = near[np.isfinite(d[i, near])]
+            if len(near):
+                b.offer(arrays.squared_distances(x[near], qs[at + i]), ids[near])
+
+
+def scan(data: DataFrame, block: Queries, k: int, *, id_col: str, vector_col: str, summary: Summary | None = None, exclude_self: bool = False, radius: float | None = None, bounds: np.ndarray | None = None, distance=None, epsilon: float = 0.0, enough: float = 0.0) -> DataFrame:
     """One pass over data for a block of queries: q_id, vec_id, d2, and for each task and query a row with vec_id null, d2 the rows compared and
     n the rows seen. radius: all rows nearer than that instead of k. bounds: what the k-th squared distance of each query can't pass.
-    distance: (x, q, bound) -> squared distances, if not Euclidean."""
+    distance: (x, q, bound) -> squared distances, if not Euclidean. epsilon: rows are ruled out by the k-th distance so far over 1 + epsilon
+    (squared). enough: a task looks no further for a query whose k-th squared distance is within (1 + epsilon) times that."""
     shared = data.sparkSession.sparkContext.broadcast((block, bounds))
     measure = distance or (lambda x, q, bound: arrays.squared_distances(x, q))
 
@@ -144,6 +177,16 @@ def scan(data: DataFrame, block: Queries, k: int, *, id_col: str, vector_col: st
                 continue
             seen += len(ids)
             held = summary.of(x) if summary else None
+            if distance is None and radius is None:
+                live = None
+                if summary or exclude_self:
+                    limits_now = np.array([b.limit(epsilon, enough) for b in best])
+                    live = np.ones((len(qs), len(ids)), bool) if not summary else lowers(summary, qs, held) <= limits_now[:, None] + 1e-9
+                    if exclude_self:
+                        live &= ids != q_ids[:, None]
+                compared += len(ids) if live is None else live.sum(axis=1)
+                offer_near(best, x, ids, qs, live)
+                continue
             for i, q in enumerate(qs):
                 limit = radius * radius if radius is not None else best[i].bound
                 live = np.flatnonzero(summary.lower(q, held) <= limit + 1e-9) if summary else np.arange(len(ids))
@@ -168,6 +211,13 @@ def scan(data: DataFrame, block: Queries, k: int, *, id_col: str, vector_col: st
     return rows.mapInPandas(run, "q_id long, vec_id long, d2 double, n long")
 
 
+def lowers(summary: Summary, qs: np.ndarray, held: object) -> np.ndarray:
+    """Lower bounds, queries x rows, at once where the summary has a way."""
+    if hasattr(summary, "lower_all"):
+        return summary.lower_all(qs, held)
+    return np.stack([summary.lower(q, held) for q in qs]) if len(qs) else np.zeros((0, 0))
+
+
 def seeds(data: DataFrame, block: Queries, k: int, *, id_col: str, vector_col: str, exclude_self: bool = False) -> np.ndarray:
     """For each query the k-th least squared distance to a few rows: no k-th distance over all rows is larger."""
     rows = data.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).limit(max(SEED_ROWS, 4 * k)).toPandas().dropna()
@@ -188,12 +238,12 @@ def _union(parts: list[DataFrame], data: DataFrame) -> DataFrame:
     return out if out is not None else data.sparkSession.createDataFrame([], "q_id long, vec_id long, d2 double, n long")
 
 
-def candidates(data: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "v", q_id_col: str = "vec_id", q_vector_col: str = "v", summary: Summary | None = None, exclude_self: bool = False, seeded: bool = False, distance=None) -> DataFrame:
+def candidates(data: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "v", q_id_col: str = "vec_id", q_vector_col: str = "v", summary: Summary | None = None, exclude_self: bool = False, seeded: bool = False, distance=None, epsilon: float = 0.0, enough: float = 0.0) -> DataFrame:
     """The tasks' rows of all query blocks."""
     parts = []
     for block in query_blocks(queries, q_id_col, q_vector_col):
         bounds = seeds(data, block, k, id_col=id_col, vector_col=vector_col, exclude_self=exclude_self) if seeded else None
-        parts.append(scan(data, block, k, id_col=id_col, vector_col=vector_col, summary=summary, exclude_self=exclude_self, bounds=bounds, distance=distance))
+        parts.append(scan(data, block, k, id_col=id_col, vector_col=vector_col, summary=summary, exclude_self=exclude_self, bounds=bounds, distance=distance, epsilon=epsilon, enough=enough))
     return _union(parts, data)
 
 
@@ -206,14 +256,16 @@ def top(found: DataFrame, k: int, *, distinct: bool = False) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "vec_id", "rank", F.round(F.sqrt("d2"), 6).alias("dist"))
 
 
-def knn_join(data: DataFrame, queries: DataFrame, k: int, *, summary: Summary | None = None, distinct: bool = False, exclude_self: bool = False, **columns_) -> DataFrame:
-    """q_id, vec_id, rank, dist. summary: None compares every row; any summary gives the same rows."""
+def knn_join(data: DataFrame, queries: DataFrame, k: int, *, summary: Summary | None = None, distinct: bool = False, exclude_self: bool = False, keep=None, **columns_) -> DataFrame:
+    """q_id, vec_id, rank, dist. summary: None compares every row; any summary gives the same rows. keep: (table, name) -> the table, written."""
     if not distinct:
         return top(candidates(data, queries, k, summary=summary, exclude_self=exclude_self, seeded=summary is not None, **columns_), k)
     # Fewer rows than distances can hide behind ties, so all rows of the k least distances are looked for with a growing k.
     take = 2 * k
     while True:
         found = candidates(data, queries, take, summary=summary, exclude_self=exclude_self, seeded=summary is not None, **columns_)
+        if keep is not None:
+            found = keep(found, "distinct")  # read twice
         got = top(found, k, distinct=True)
         full = found.where("vec_id IS NOT NULL").groupBy("q_id").agg(F.countDistinct(F.round("d2", 12)).alias("n"), F.count("*").alias("m"))
         if full.where((F.col("n") < k) & (F.col("m") >= take)).isEmpty():

@@ -57,6 +57,31 @@ class Tree:
     def leaves(self) -> list[Node]:
         return [n for _, n in sorted(self.nodes.items()) if n.split is None]
 
+    def visited(self, x: np.ndarray) -> Iterator[tuple[Node, np.ndarray]]:
+        """Every node that rows of x pass, with the rows."""
+        todo = [(1, np.arange(len(x)))]
+        while todo:
+            at, rows = todo.pop()
+            if len(rows):
+                node = self.nodes[at]
+                yield node, rows
+                if node.split is not None:
+                    start, end, which, threshold = node.split
+                    part = x[rows, start:end]
+                    low = (part.std(axis=1) if which else part.mean(axis=1)) < threshold
+                    todo += [(2 * at, rows[low]), (2 * at + 1, rows[~low])]
+
+    def widen(self, synopsis: list) -> None:
+        """Takes in what ``synopsis`` of further rows says: (node, segment, max_mean, min_mean, max_sd, min_sd, n)."""
+        for at, segment, top, low, wide, narrow, n in synopsis:
+            node = self.nodes[at]
+            if node.sketch is None:
+                node.sketch = np.tile([-np.inf, np.inf, -np.inf, np.inf], (len(node.ends), 1))
+            old = node.sketch[segment]
+            node.sketch[segment] = (max(old[0], top), min(old[1], low), max(old[2], wide), min(old[3], narrow))
+            if segment == 0:
+                node.size += n
+
     def route(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
         out = np.zeros(len(x), np.int64)
@@ -245,16 +270,57 @@ def assigned(data: DataFrame, tree: Tree, *, id_col: str = "vec_id", vector_col:
     return _rows(data, id_col, vector_col).mapInPandas(run, "leaf_id long, vec_id long, v array<double>")
 
 
+SYNOPSIS = "node_id long, segment int, max_mean double, min_mean double, max_sd double, min_sd double, n long"
+
+
+def synopsis(data: DataFrame, tree: Tree, *, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
+    """The extremes of the segments of every node that rows of data pass: a row a node and segment, combined before the shuffle."""
+    shared = data.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            batch = batch.dropna()
+            if not len(batch):
+                continue
+            x = np.stack(batch["v"].to_numpy())
+            for node, rows in shared.value.visited(x):
+                m, sd = arrays.segment_stats(x[rows], node.ends)
+                for k in range(len(node.ends)):
+                    now = np.array([m[:, k].max(), -m[:, k].min(), sd[:, k].max(), -sd[:, k].min(), 0.0])
+                    old = seen.get((node.id, k))
+                    now = now if old is None else np.maximum(now, old)
+                    now[4] = len(rows) + (0 if old is None else old[4])
+                    seen[node.id, k] = now
+        yield pd.DataFrame([(*k, v[0], -v[1], v[2], -v[3], int(v[4])) for k, v in seen.items()], columns=[c.split()[0] for c in SYNOPSIS.split(", ")])
+
+    found = _rows(data, id_col, vector_col).mapInPandas(run, SYNOPSIS)
+    return _combined(found)
+
+
+def _combined(rows: DataFrame) -> DataFrame:
+    merged = rows.groupBy("node_id", "segment").agg(F.max("max_mean").alias("max_mean"), F.min("min_mean").alias("min_mean"), F.max("max_sd").alias("max_sd"), F.min("min_sd").alias("min_sd"), F.sum("n").alias("n"))
+    return merged.select(*[c.split()[0] for c in SYNOPSIS.split(", ")])
+
+
 def write(data: DataFrame, tree: Tree, path: str, **columns_) -> None:
-    """nodes and series under path; series sorted by leaf."""
-    nodes_table(data.sparkSession, tree).write.mode("overwrite").parquet(f"{path}/nodes")
+    """nodes, settings and series under path; series sorted by leaf. What is appended later has numbers of its own (``streaming.ingest``)."""
+    spark = data.sparkSession
+    nodes_table(spark, tree).write.mode("overwrite").parquet(f"{path}/nodes")
+    spark.createDataFrame([(tree.length, tree.leaf_size)], "length int, leaf_size long").write.mode("overwrite").parquet(f"{path}/settings")
+    spark.createDataFrame([], SYNOPSIS).write.mode("overwrite").parquet(f"{path}/synopsis/batch=-1")
     rows = assigned(data, tree, **columns_)
-    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, "leaf_id", "vec_id").sortWithinPartitions("leaf_id", "vec_id").write.mode("overwrite").parquet(f"{path}/series")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(parts, "leaf_id", "vec_id").sortWithinPartitions("leaf_id", "vec_id").write.mode("overwrite").parquet(f"{path}/series/batch=-1")
 
 
-def read(spark: SparkSession, path: str, leaf_size: int) -> tuple[DataFrame, Tree]:
-    return spark.read.parquet(f"{path}/series"), loaded(spark.read.parquet(f"{path}/nodes"), leaf_size)
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, Tree]:
+    """Series and tree, with everything appended so far: the synopsis is read after the series are listed, so it covers them."""
+    series = spark.read.schema("leaf_id long, vec_id long, v array<double>, batch long").parquet(f"{path}/series").drop("batch")
+    settings = spark.read.parquet(f"{path}/settings").first()
+    tree = loaded(spark.read.parquet(f"{path}/nodes"), settings["leaf_size"])
+    tree.widen(list(_combined(spark.read.schema(SYNOPSIS + ", batch long").parquet(f"{path}/synopsis").drop("batch")).toLocalIterator()))
+    return series, tree
 
 
 def bounds(tree: Tree, qs: np.ndarray, which: str = "lower", nodes: list[Node] | None = None) -> np.ndarray:
@@ -294,13 +360,14 @@ def leaf_scan(series: DataFrame, block: knn.Queries, tree, allowed: np.ndarray,
                 continue
             x, ids = np.stack(batch["v"].to_numpy()), batch["vec_id"].to_numpy()
             at = np.searchsorted(names, batch["leaf_id"].to_numpy())
-            held = summary.of(x) if summary else None
-            for i, q in enumerate(qs):
-                live = may[i, at]
-                if summary and live.any():
-                    live = live & (summary.lower(q, held) <= best[i].bound + 1e-9)
-                if live.any():
-                    best[i].offer(arrays.squared_distances(x[live], q), ids[live])
+            asked = np.flatnonzero(may[:, np.unique(at)].any(axis=1))  # a batch is of few leaves
+            if not len(asked):
+                continue
+            live = may[np.ix_(asked, at)]
+            if summary:
+                held, some = summary.of(x), np.array([best[i].bound for i in asked])
+                live &= knn.lowers(summary, qs[asked], held) <= some[:, None] + 1e-9
+            knn.offer_near([best[i] for i in asked], x, ids, qs[asked], live)
         for i, b in enumerate(best):
             yield pd.DataFrame({"q_id": q_ids[i], "vec_id": b.ids, "d2": b.d})
 
@@ -347,11 +414,14 @@ def search(series: DataFrame, tree: Tree, queries: DataFrame, k: int, *, approxi
         summary = None
         if 1 - allowed.mean() >= eapca_threshold and tree.length >= 16:
             summary = knn.SaxSummary()
-            sample = series.limit(knn.SEED_ROWS).select("v").toPandas()["v"]
-            x = np.stack(sample.to_numpy())
-            held = summary.of(x)
-            gone = np.mean([(summary.lower(q, held) > d).mean() for q, d in zip(block[1], kth, strict=True)])
-            summary = summary if gone >= sax_threshold else None
+            # A sample by hash: rows that lie together are of one leaf.
+            rows = max(1, sum(x.size for x in tree.leaves()))
+            some = F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(1 << 30)) < min(1 << 30, (knn.SEED_ROWS << 30) // rows + 1)
+            sample = series.where(some).limit(2 * knn.SEED_ROWS).select("v").toPandas()["v"]
+            if len(sample):
+                held = summary.of(np.stack(sample.to_numpy()))
+                gone = np.mean([(summary.lower(q, held) > d).mean() for q, d in zip(block[1], kth, strict=True)])
+                summary = summary if gone >= sax_threshold else None
         parts.append(leaf_scan(series, block, tree, allowed, k, limits=kth, summary=summary))
     found = None
     for p in parts:
@@ -359,6 +429,51 @@ def search(series: DataFrame, tree: Tree, queries: DataFrame, k: int, *, approxi
     return knn.top(found if found is not None else series.sparkSession.createDataFrame([], "q_id long, vec_id long, d2 double"), k)
 
 
+def found_stepwise(series: DataFrame, tree: Tree, queries: DataFrame, k: int, wave: int = 8) -> DataFrame:
+    """q_id, vec_id, rank, dist, leaves: exact neighbours, each given as soon as it is proven. Leaves are taken by rising bound, ``wave`` of
+    them a pass; the i-th nearest is proven once its distance is within the bound of all leaves not read, and ``leaves`` tells how many had
+    been read then. Queries whose k-th is proven read no further."""
+    spark = series.sparkSession
+    rows: list[tuple] = []
+    for ids, qs in knn.query_blocks(queries, "vec_id", "v"):
+        lower = bounds(tree, qs)
+        order = np.argsort(lower, axis=1, kind="stable")
+        best = {int(q): knn.Best(k) for q in ids}
+        given = np.zeros(len(ids), int)
+        for at in range(0, lower.shape[1], wave):
+            open_ = np.flatnonzero(given < k)
+            if not len(open_):
+                break
+            now = np.zeros((len(open_), lower.shape[1]), bool)
+            np.put_along_axis(now, order[open_, at : at + wave], True, axis=1)
+            for r in leaf_scan(series, (ids[open_], qs[open_]), tree, now, k, limits=np.array([best[int(ids[i])].bound for i in open_])).collect():  # k rows a query and task
+                best[r["q_id"]].offer(np.array([r["d2"]]), np.array([r["vec_id"]]))
+            end = min(at + wave, lower.shape[1])
+            for i in open_:
+                b = best[int(ids[i])]
+                next_ = lower[i, order[i, end]] if end < lower.shape[1] else np.inf
+                while given[i] < len(b.d) and b.d[given[i]] < next_ - 1e-9:
+                    rows.append((int(ids[i]), int(b.ids[given[i]]), int(given[i]) + 1, round(float(b.d[given[i]]) ** 0.5, 6), end))
+                    given[i] += 1
+    return spark.createDataFrame(rows, "q_id long, vec_id long, rank int, dist double, leaves int")
+
+
+def query_stats(series: DataFrame, tree: Tree, queries: DataFrame, k: int, *, approximate_leaves: int = 80) -> DataFrame:
+    """q_id, leaves, leaves_read, rows, rows_read, approximate, exact of an exact search: how much of the index it reads, and the k-th
+    distance of the first answer and of the last."""
+    out = []
+    size = np.array([n.size for n in tree.leaves()])
+    for block in knn.query_blocks(queries, "vec_id", "v"):
+        lower = bounds(tree, block[1])
+        first = nearest_leaves(lower, approximate_leaves)
+        kth = kth_distances(leaf_scan(series, block, tree, first, k), k, block[0])
+        read_ = (lower <= (kth + 1e-9)[:, None]) | first
+        last = kth_distances(leaf_scan(series, block, tree, read_, k, limits=kth), k, block[0])
+        for i, q in enumerate(block[0]):
+            out.append((int(q), len(size), int(read_[i].sum()), int(size.sum()), int(size[read_[i]].sum()), round(float(kth[i]) ** 0.5, 6), round(float(last[i]) ** 0.5, 6)))
+    return series.sparkSession.createDataFrame(out, "q_id long, leaves int, leaves_read int, rows long, rows_read long, approximate double, exact double")
+
+
 def mindists(spark: SparkSession, tree: Tree, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
     """q_id, node_id, level, is_leaf, segments, lower, upper, root_qos of every node for every query, a block of queries at a time."""
     nodes = [n for _, n in sorted(tree.nodes.items()) if n.sketch is not None]

@@ -9,12 +9,13 @@ import uuid
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import series
 from ..operators import knn, quantised, tree, warping, words
-from ..sources import tables
+from ..sources import floats, tables
+from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,14 +49,23 @@ def _own_folder() -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder for an index: in the folder that driver and executors share, or in a temporary one where none is set (tests)."""
-    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or _own_folder()}/{name}-{uuid.uuid4().hex}"
+    """A new folder for an index: in the folder that driver and executors share, or in a temporary one where all runs in one process. It
+    goes when the driver ends."""
+    shared, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not shared and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{shared or _own_folder()}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written once: what several passes read should not be derived in each."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -98,7 +108,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, vec_id) AS ran
 SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank, round(sqrt(d2), 6) AS dist FROM r WHERE rank <= 10""")
 def knn_distinct_k10(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.embeddings(spark, sf_dir)
-    return knn.knn_join(e, asked(e), 10, distinct=True)
+    return knn.knn_join(e, asked(e), 10, distinct=True, keep=kept)
 
 
 @query(_knn_sql(E_, "e", 10, "q_id <> vec_id"))
@@ -370,7 +380,7 @@ def _index(spark: SparkSession, sf_dir: str, leaf_size: int = 64) -> tuple[DataF
     w = kept(tables.walks(spark, sf_dir), "walks")
     path = shared_path(spark, "tree")
     tree.write(w, tree.build(w, leaf_size, segments=4), path)
-    held, found = tree.read(spark, path, leaf_size)
+    held, found = tree.read(spark, path)
     return w, held, found
 
 
@@ -385,12 +395,164 @@ def _search(**options) -> Query:
 query(_knn_sql(W_, "w", 10), "knn_tree_exact")(_search(approximate_leaves=2))
 query(_knn_sql(W_, "w", 10), "knn_tree_leaves_only")(_search(approximate_leaves=2, sax_threshold=1.1))
 query(None, "knn_epsilon")(_search(approximate_leaves=2, epsilon=0.5))
-query(None, "knn_delta_epsilon")(_search(approximate_leaves=2, epsilon=0.1, r_delta=4.0))
 query(None, "knn_ng")(_search(probes=3))
 query(None, "knn_approx_greedy")(_search(probes=80))
 query(None, "knn_one_leaf")(_search(probes=1))
 
 
+EPSILON, DELTA = 0.1, 0.9
+
+
+def _near_enough(w: DataFrame) -> float:
+    """The squared distance that is near enough with chance DELTA, by the distances of the queries' nearest rows."""
+    return quantised.r_delta(quantised.distance_histogram(w, asked(w)), DELTA)
+
+
+@query()
+def knn_delta_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, held, found = _index(spark, sf_dir)
+    return tree.search(held, found, asked(w), 10, approximate_leaves=2, epsilon=EPSILON, r_delta=_near_enough(w))
+
+
+@query()
+def va_delta_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = kept(tables.walks(spark, sf_dir), "walks")
+    rows = knn.candidates(w, asked(w), 10, summary=quantised.fit(w, LENGTH), seeded=True, epsilon=EPSILON, enough=_near_enough(w))
+    return knn.top(rows, 10)
+
+
+@query(_knn_sql(W_, "w", 10))
+def knn_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each neighbour as soon as it is proven."""
+    w, held, found = _index(spark, sf_dir)
+    return tree.found_stepwise(held, found, asked(w), 10).drop("leaves")
+
+
+@query(_knn_sql(W_, "w", 10))
+def append_knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of every third row, to which the others are appended in two batches of other spread."""
+    w = kept(tables.walks(spark, sf_dir), "walks")
+    path = shared_path(spark, "tree")
+    first = w.where("vec_id % 3 = 0")
+    built = tree.build(first, 64, segments=4)
+    tree.write(first, built, path)
+    for n in (1, 2):
+        ingest.append(w.where(F.col("vec_id") % 3 == n).select("vec_id", "v"), n, built, path)
+    held, found = tree.read(spark, path)
+    return tree.search(held, found, asked(w), 10, approximate_leaves=2)
+
+
+_PLACES = "e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+@query(_knn_sql(_PLACES, "e", 10))
+def float_roundtrip_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to float files and read back; ids are places in the order of the written ones."""
+    path = shared_path(spark, "floats")
+    floats.register(spark)
+    floats.write(tables.embeddings(spark, sf_dir), path)
+    e = spark.read.format("float_series").option("length", LENGTH).load(path)
+    return knn.knn_join(e, asked(e), 10)
+
+
+@query()
+def query_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, held, found = _index(spark, sf_dir)
+    return tree.query_stats(held, found, asked(w), 10, approximate_leaves=2)
+
+
+# What holds for every answer of a search whose rows depend on the index: SQL states it, and nothing may be on the wrong side.
+
+_ASKED = "FROM embeddings WHERE vec_id % 50 = 0"
+_ZEROS = f"SELECT vec_id AS q_id, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_under, CAST(0 AS BIGINT) AS n_false {_ASKED}"
+
+
+def _checked(run: Query, k: int, least: int, most: Callable[[DataFrame], Column] | None = None) -> Query:
+    """q_id and how many of its rows are missing (of least), over what the method allows, nearer than the exact ones, or not at the
+    distance told. most: from the walks, what a distance may be at most, of the column exact."""
+
+    def check(spark: SparkSession, sf_dir: str) -> DataFrame:
+        w = kept(tables.walks(spark, sf_dir), "walks")
+        exact = knn.knn_join(w, asked(w), k).select("q_id", "rank", F.col("dist").alias("exact"))
+        vectors = w.select("vec_id", "v").join(run(spark, sf_dir), "vec_id").join(asked(w).select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv")), "q_id")
+        found = vectors.select("q_id", "rank", "dist", F.sqrt(series.squared_distance(F.col("v"), F.col("qv"))).alias("truth"))
+        rows, few = exact.join(found, ["q_id", "rank"], "left"), 2e-6
+        over = F.count_if(F.col("dist") > most(w) + few) if most else F.lit(0).cast("long")
+        return rows.groupBy("q_id").agg(F.greatest(F.lit(0).cast("long"), least - F.count("dist")).alias("n_missing"), over.alias("n_over"), F.count_if(F.col("dist") < F.col("exact") - few).alias("n_under"), F.count_if(F.abs(F.col("dist") - F.col("truth")) > few).alias("n_false"))
+
+    return check
+
+
+def _delta_most(w: DataFrame) -> Column:
+    return F.greatest(F.col("exact"), F.lit(_near_enough(w) ** 0.5)) * (1 + EPSILON) ** 0.5
+
+
+query(_ZEROS, "knn_epsilon_checks")(_checked(_search(approximate_leaves=2, epsilon=0.5), 10, 10, lambda w: F.col("exact") * 1.5**0.5))
+query(_ZEROS, "knn_delta_epsilon_checks")(_checked(knn_delta_epsilon, 10, 10, _delta_most))
+query(_ZEROS, "va_delta_epsilon_checks")(_checked(va_delta_epsilon, 10, 10, _delta_most))
+query(_ZEROS, "knn_ng_checks")(_checked(_search(probes=3), 10, 1))
+query(_ZEROS, "knn_one_leaf_checks")(_checked(_search(probes=1), 10, 1))
+query(_ZEROS, "knn_approx_greedy_checks")(_checked(_search(probes=4), 10, 4))
+
+
+@query(f"SELECT q_id, dist AS exact, CAST(0 AS BIGINT) AS wrong FROM ({_knn_sql(W_, 'w', 10)}) WHERE rank = 10")
+def query_stats_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tenth distance, and what of the statistics can't be."""
+    s = query_stats(spark, sf_dir)
+    n = tables.embeddings(spark, sf_dir).count()
+    fine = (F.col("leaves_read").between(1, F.col("leaves"))) & (F.col("rows") == n) & (F.col("rows_read") <= n) & (F.col("rows_read") >= 10) & (F.col("approximate") >= F.col("exact"))
+    return s.select("q_id", "exact", F.when(fine, 0).otherwise(1).cast("long").alias("wrong"))
+
+
+@query(f"SELECT q_id, dist AS exact, CAST(0 AS BIGINT) AS wrong FROM ({_knn_sql(W_, 'w', 2)}) WHERE rank = 2")
+def effective_epsilon_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = effective_epsilon(spark, sf_dir)
+    fine = (F.col("epsilon") >= 0) & (F.abs(F.col("exact") * (1 + F.col("epsilon")) - F.col("approximate")) < 1e-4)
+    return e.select("q_id", "exact", F.when(fine, 0).otherwise(1).cast("long").alias("wrong"))
+
+
+def _true_extremes(w: DataFrame, rows: DataFrame) -> DataFrame:
+    """q_id, node_id, n, low, high: extremes of the squared distances of each query to the rows under each node; ids of parents are halves."""
+    q = asked(w).select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"))
+    d = against(q, rows.select("leaf_id", "v")).select("q_id", "leaf_id", series.squared_distance(F.col("qv"), F.col("v")).alias("d"))
+    leaf = d.groupBy("q_id", "leaf_id").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+    up = leaf.withColumn("node_id", F.explode(F.expr("transform(sequence(0, length(bin(leaf_id)) - 1), i -> shiftrightunsigned(leaf_id, i))")))
+    return up.groupBy("q_id", "node_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+@query(f"SELECT vec_id AS q_id, (SELECT count(*) FROM embeddings) AS n_rows, CAST(0 AS BIGINT) AS n_lower, CAST(0 AS BIGINT) AS n_upper, CAST(0 AS BIGINT) AS n_lost {_ASKED}")
+def node_mindists_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows under the root, and nodes whose lower or upper bound is on the wrong side of a distance, or that have no bound."""
+    w, held, found = _index(spark, sf_dir)
+    rows = _true_extremes(w, held).join(tree.mindists(spark, found, asked(w)), ["q_id", "node_id"], "left")
+    return rows.groupBy("q_id").agg(F.max("n").alias("n_rows"), F.count_if(F.col("lower") > F.col("low") + 1e-9).alias("n_lower"), F.count_if(F.col("upper") < F.col("high") - 1e-9).alias("n_upper"), F.count_if(F.col("lower").isNull()).alias("n_lost"))
+
+
+@query(f"SELECT vec_id AS q_id, CAST(0 AS BIGINT) AS n_wrong {_ASKED}")
+def pruned_nodes_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pruned nodes that hold a row nearer than the first k-th distance."""
+    w, held, found = _index(spark, sf_dir)
+    cut = tree.pruned_nodes(held, found, asked(w), 10, approximate_leaves=2)
+    wrong = cut.join(_true_extremes(w, held), ["q_id", "node_id"]).groupBy("q_id").agg(F.count_if(F.sqrt("low") < F.col("bsf") - 2e-6).alias("n"))
+    return asked(w).select(F.col("vec_id").alias("q_id")).join(wrong, "q_id", "left").select("q_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_wrong"))
+
+
+@query(f"SELECT q_id, dist AS bsf, CAST(0 AS BIGINT) AS n_rising, CAST(0 AS BIGINT) AS n_early FROM ({_knn_sql(W_, 'w', 1)})")
+def progressive_bsf_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last distance, steps at which it rises, and proofs before it is reached."""
+    w = Window.partitionBy("q_id").orderBy("step")
+    rows = progressive_bsf(spark, sf_dir).withColumn("before", F.lag("bsf").over(w)).withColumn("last", F.min("bsf").over(Window.partitionBy("q_id")))
+    return rows.groupBy("q_id").agg(F.min("last").alias("bsf"), F.count_if(F.col("bsf") > F.col("before")).alias("n_rising"), F.count_if(F.col("proven") & (F.col("bsf") > F.col("last"))).alias("n_early"))
+
+
+@query("SELECT count(*) AS n_series, CAST(-1 AS BIGINT) AS inner_less_leaves, CAST(0 AS BIGINT) AS wrong FROM embeddings")
+def tree_leaf_stats_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binary tree has one inner node less than leaves, fill is within 0 and 1, and its mean is that of the sizes."""
+    s = tree_leaf_stats(spark, sf_dir)
+    fine = (F.col("min_fill") > 0) & (F.col("max_fill") <= 1) & (F.abs(F.col("avg_fill") * F.col("n_leaves") * 64 - F.col("n_series")) < 1e-6) & F.col("avg_height").between(F.col("min_height"), F.col("max_height"))
+    return s.select("n_series", (F.col("n_nodes") - 2 * F.col("n_leaves")).alias("inner_less_leaves"), F.when(fine, 0).otherwise(1).cast("long").alias("wrong"))
+
+
 @query()
 def progressive_bsf(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, held, found = _index(spark, sf_dir)
@@ -486,7 +648,15 @@ def va_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(d, i, x) for d, b in enumerate(borders) for i, x in enumerate(b, 1)], "dim int, border int, x double")
 
 
-@query()
+@query("SELECT CAST(d AS INTEGER) AS dim, CAST(7 AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_unsorted, CAST(0 AS BIGINT) AS n_outside FROM (SELECT unnest(range(0, 16)) AS d)")
+def va_kmeans_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Borders of a dimension, those not above the one before, and those outside of the coefficients."""
+    coefs = quantised.coefficients(tables.walks(spark, sf_dir), LENGTH, 8).groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    rows = va_kmeans(spark, sf_dir).withColumn("before", F.lag("x").over(Window.partitionBy("dim").orderBy("border"))).join(coefs, "dim")
+    return rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("x") <= F.col("before")).alias("n_unsorted"), F.count_if(~F.col("x").between(F.col("low"), F.col("high"))).alias("n_outside"))
+
+
+@query(_knn_sql(W_, "w", 10, "vec_id IN (SELECT vec_id FROM w ORDER BY vec_id LIMIT 200)"))
 def va_ng(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 200 rows are read, in file order: the limit is the feature."""
     w = tables.walks(spark, sf_dir)
@@ -509,6 +679,22 @@ def knn_word_tree_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.search(kept(words.assigned(w, built), "leaves"), built, asked(w), 10, first_leaves=2)
 
 
+query(_ZEROS, "word_home_leaf_checks")(_checked(word_home_leaf, 10, 1))
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_loose, CAST(0 AS BIGINT) AS n_wrong_size FROM embeddings")
+def word_wedges_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series in leaves, points outside of their leaf's wedge, sides of wedges that no point touches, and leaves of another size than told."""
+    w = tables.walks(spark, sf_dir)
+    built = words.build(w, 64)
+    rows = kept(words.assigned(w, built), "leaves")
+    points = rows.select("leaf_id", F.posexplode("v").alias("pos", "x")).join(words.envelopes(rows), ["leaf_id", "pos"])
+    sides = points.groupBy("leaf_id", "pos").agg(F.count_if((F.col("x") > F.col("upper")) | (F.col("x") < F.col("lower"))).alias("out"), (F.count_if(F.col("x") == F.col("upper")) == 0).alias("a"), (F.count_if(F.col("x") == F.col("lower")) == 0).alias("b"))
+    told = spark.createDataFrame([(n.id, n.size) for n in built.leaves()], "leaf_id long, size long")
+    sizes = rows.groupBy("leaf_id").agg(F.count("*").alias("n")).join(told.where("size > 0"), "leaf_id", "full").agg(F.sum("n").alias("n"), F.count_if(~F.col("n").eqNullSafe(F.col("size"))).alias("n_wrong_size"))
+    return sides.agg(F.sum("out").alias("n_outside"), (F.count_if("a") + F.count_if("b")).alias("n_loose")).crossJoin(sizes).select("n", "n_outside", "n_loose", "n_wrong_size")
+
+
 @query()
 def word_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = words.build(tables.walks(spark, sf_dir), 64)
@@ -543,13 +729,27 @@ def dtw_mindist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("q_id", "vec_id", F.round(F.sqrt(series.dtw_mindist(F.col("env"), F.col("word"), SEGMENTS, LENGTH, CARDINALITY)), 6).alias("lb"))
 
 
-@query()
+def _dtw_sql(k: int, band: int, where: str = "true") -> str:
+    """The recurrence, a row of the cost matrix a step: cells of row i from max(0, i - band), each the cost plus the least of up, slant and left."""
+    lo = "greatest(0, i - {b})"
+    cost = "(qv[i + 1] - v[lo2 + j]) ** 2"
+    up = "least(coalesce(before[lo2 - lo + j], 1e300), coalesce(CASE WHEN lo2 - lo + j > 1 THEN before[lo2 - lo + j - 1] END, 1e300), CASE WHEN i = 0 AND j = 1 THEN 0 ELSE 1e300 END)"
+    step = f"list_reduce([[CAST(1e300 AS DOUBLE)]] || list_transform(range(1, least(64, i + {band} + 1) - lo2 + 1), lambda j: [CAST({cost} AS DOUBLE), CAST({up} AS DOUBLE)]), lambda a, x: a || [x[1] + least(x[2], a[len(a)])])[2:]"
+    lo = lo.format(b=band)
+    return f"""WITH RECURSIVE {W_}, p AS (SELECT q.vec_id AS q_id, w.vec_id, q.v AS qv, w.v FROM w AS q, w WHERE q.vec_id % 50 = 0),
+t AS (SELECT q_id, vec_id, qv, v, 0 AS i, 0 AS lo, CAST([] AS DOUBLE[]) AS before FROM p WHERE {where}
+  UNION ALL SELECT q_id, vec_id, qv, v, i + 1, lo2, {step} FROM (SELECT *, {lo} AS lo2 FROM t WHERE i < 64)),
+d AS (SELECT q_id, vec_id, sqrt(before[len(before)]) AS dist FROM t WHERE i = 64),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) AS rank FROM d)"""
+
+
+@query(_dtw_sql(5, 5) + " SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM r WHERE rank <= 5")
 def dtw_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.walks(spark, sf_dir)
     return warping.dtw_join(w, asked(w), 5, 5, summary=True)
 
 
-@query()
+@query(_dtw_sql(5, 5, "q_id <> vec_id") + _VOTE.format(k=5))
 def dtw_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.walks(spark, sf_dir)
     return warping.dtw_classify(w, asked(w), 5, 5)

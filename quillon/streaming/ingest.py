@@ -1,4 +1,5 @@
-"""Appending series to a tree index as they arrive: every micro-batch is routed to its leaves and appended once."""
+"""Appending series to a tree index as they arrive: every micro-batch is routed to its leaves and appended once, and the sketches of all nodes
+it passes are widened, so that searches of the index stay exact."""
 
 from __future__ import annotations
 
@@ -9,9 +10,11 @@ from ..operators import tree as trees
 
 
 def append(batch: DataFrame, batch_id: int, tree: trees.Tree, path: str) -> None:
-    """Writes the batch, sorted by leaf, under its own number: a batch that is run again replaces what it wrote."""
+    """Writes the batch under its own number, sorted by leaf, after what it changes in the nodes' sketches: a batch that is run again
+    replaces what it wrote, and who reads in between has sketches that are wider than need be. ``tree.read`` reads all."""
+    trees.synopsis(batch, tree).write.mode("overwrite").parquet(f"{path}/synopsis/batch={batch_id}")
     rows = trees.assigned(batch, tree).sortWithinPartitions("leaf_id", "vec_id")
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    rows.write.mode("overwrite").parquet(f"{path}/series/batch={batch_id}")
 
 
 def start(stream: DataFrame, tree: trees.Tree, path: str, checkpoint: str):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import arrays
 from quillon.operators import knn, quantised, tree, warping, words
 from quillon.sources import tables
+from quillon.streaming import ingest
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +41,7 @@ def index(spark, walks, tmp_path_factory):
     path = f"file://{tmp_path_factory.mktemp('tree')}/index"
     built = tree.build(walks, 40, segments=2)
     tree.write(walks, built, path)
-    return tree.read(spark, path, 40)
+    return tree.read(spark, path)
 
 
 QUERIES = list(range(0, 400, 50))
@@ -195,3 +196,31 @@ def test_histogram_gives_a_radius():
 def test_query_slice(walks):
     assert [r[0] for r in tables.query_slice(walks, 3, 4).orderBy("vec_id").select("vec_id").collect()] == [3, 4, 5, 6]
     assert walks.select(F.max(F.size("v"))).first()[0] == 64
+
+
+def test_appended_series_are_found_by_exact_search(spark, tmp_path):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.standard_normal((60, 16)), 5 * r.standard_normal((40, 16)), r.standard_normal((20, 16)) + 3])
+    whole = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    path = f"file://{tmp_path}/index"
+    first = whole.where("vec_id < 60")
+    built = tree.build(first, 10, segments=2)
+    tree.write(first, built, path)
+    for n, cond in ((1, "vec_id BETWEEN 60 AND 99"), (2, "vec_id >= 100"), (2, "vec_id >= 100")):  # the second batch is run again
+        ingest.append(whole.where(cond), n, built, path)
+    series, found = tree.read(spark, path)
+    assert series.count() == 120 and found.nodes[1].size == 120 and found.leaf_size == 10
+    got = result(tree.search(series, found, whole, 3, approximate_leaves=1))
+    assert got == brute(x, range(120), 3)
+    steps = tree.found_stepwise(series, found, whole, 3, wave=2)
+    assert result(steps.drop("leaves")) == brute(x, range(120), 3)
+    assert steps.agg({"leaves": "min"}).first()[0] < len(found.leaves())
+    stats = tree.query_stats(series, found, whole, 3, approximate_leaves=1).collect()
+    assert all(s["rows"] == 120 and 3 <= s["rows_read"] <= 120 and s["exact"] <= s["approximate"] for s in stats) and any(s["rows_read"] < 120 for s in stats)
+
+
+def test_distances_by_products_find_what_differences_find(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate([1e4 + r.standard_normal((300, 12)), np.zeros((3, 12)), np.full((2, 12), 1e4)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    assert result(knn.knn_join(df, df.where("vec_id % 7 = 0"), 4)) == brute(x, range(0, 305, 7), 4)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from quillon.functions import sql
-from quillon.operators import tree
+from quillon.operators import quantised, tree
 from quillon.sources import floats, tables
 from quillon.streaming import ingest
 
@@ -17,9 +17,30 @@ def test_float_files_round_trip(spark, tmp_path):
     assert got["vec_id"].tolist() == list(range(100)) and np.array_equal(np.stack(got["v"]), x)
     part = spark.read.format("float_series").options(length=8, skip=10, size=5).load(f"file://{path}")
     assert sorted(r[0] for r in part.select("vec_id").collect()) == [10, 11, 12, 13, 14]
-    files = floats.write(df, f"file://{tmp_path}/out").collect()
-    data = b"".join((tmp_path / "out" / r["file"]).read_bytes() for r in sorted(files, key=lambda r: r["first"]))
-    assert data == x.tobytes() and sum(r["series"] for r in files) == 100
+    files = floats.write(df, f"file://{tmp_path}/out")
+    data = b"".join((tmp_path / "out" / name).read_bytes() for name, *_ in files)
+    assert data == x.tobytes() and sum(n for *_, n in files) == 100
+    (tmp_path / "out" / "part-00000-99999.bin").write_bytes(b"\0" * 32)  # what a lost attempt left
+    again = spark.read.format("float_series").option("length", 8).load(f"file://{tmp_path}/out").orderBy("vec_id").toPandas()
+    assert again["vec_id"].tolist() == list(range(100)) and np.array_equal(np.stack(again["v"]), x)
+    some = spark.read.format("float_series").options(length=8, skip=20, size=60).load(f"file://{tmp_path}/out").orderBy("vec_id").toPandas()
+    assert some["vec_id"].tolist() == list(range(20, 80)) and np.array_equal(np.stack(some["v"]), x[20:80])
+
+
+def test_folders_of_files_have_running_ids(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"l{i}.bin").write_bytes(np.arange(10 * i, 10 * i + 4, dtype="<i8").tobytes())
+    got = floats.labels(spark, f"file://{tmp_path}").orderBy("vec_id").collect()
+    assert [tuple(r) for r in got] == list(enumerate([0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22, 23]))
+
+
+def test_histogram_files(tmp_path):
+    (tmp_path / "h.txt").write_text("3\n0.5 0.1\n1.5 0.6\n2.5 1.0\n")
+    held = floats.histogram(f"file://{tmp_path}/h.txt")
+    assert held == [(0.5, 0.1), (1.5, 0.6), (2.5, 1.0)] and quantised.r_delta(held, 0.9) == 0.25
+    (tmp_path / "odd.txt").write_text("3 0.5 0.1")
+    with pytest.raises(ValueError, match="bins"):
+        floats.histogram(f"file://{tmp_path}/odd.txt")
 
 
 def test_a_file_of_broken_records_is_refused(spark, tmp_path):
@@ -53,7 +74,7 @@ def test_streamed_series_reach_their_leaves(spark, tmp_path):
     q = ingest.start(stream, built, f"{tmp_path}/out", f"{tmp_path}/check")
     q.processAllAvailable()
     q.stop()
-    held = spark.read.parquet(f"{tmp_path}/out")
+    held = spark.read.parquet(f"{tmp_path}/out/series").drop("batch")
     want = {(r["vec_id"], r["leaf_id"]) for r in tree.assigned(walks.where("vec_id >= 60"), built).collect()}
     assert {(r["vec_id"], r["leaf_id"]) for r in held.collect()} == want and len(want) == 60
     assert ingest.overfull(held, 0).count() >= 1
