@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .series import breakpoints
 
 
+def matrix(batch: pa.RecordBatch, vector: str, *others: str) -> tuple[np.ndarray, ...]:
+    """The vectors of an Arrow batch as a matrix, without copying them row by row, and other columns; rows with a null in any are left out.
+    All vectors have one length."""
+    batch = batch.select([vector, *others])
+    if any(c.null_count for c in batch.columns):
+        batch = batch.filter(reduce(pc.and_, [pc.is_valid(c) for c in batch.columns]))
+    v = batch.column(0)
+    flat, lengths = v.flatten(), np.diff(v.offsets.to_numpy())
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError(f"vectors of {lengths.min()} and {lengths.max()} numbers")
+    return (flat.to_numpy(zero_copy_only=False).reshape(len(v), -1 if len(v) else 0), *(batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(others))))
+
+
 def znorm(x: np.ndarray) -> np.ndarray:
     sd = x.std(axis=1, keepdims=True)
     return np.where(sd > 1e-12, (x - x.mean(axis=1, keepdims=True)) / np.where(sd > 1e-12, sd, 1), 0.0)

@@ -21,6 +21,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from ..functions import arrays
 
 #: Numbers of the query table that are broadcast at once (8 bytes each).
 BLOCK_NUMBERS = 4_000_000
+FOUND = pa.schema([("q_id", pa.int64()), ("vec_id", pa.int64()), ("d2", pa.float64()), ("n", pa.int64())])
 #: Queries that meet a batch in one matrix product.
 TILE = 256
 #: Rows that a first bound is found on.
@@ -165,14 +167,17 @@ def scan(data: DataFrame, block: Queries, k: int, *, id_col: str, vector_col: st
     shared = data.sparkSession.sparkContext.broadcast((block, bounds))
     measure = distance or (lambda x, q, bound: arrays.squared_distances(x, q))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in scanned(batches):
+            yield pa.RecordBatch.from_pandas(found, schema=FOUND, preserve_index=False)
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         (q_ids, qs), limits = shared.value
         best = [Best(k, np.inf if limits is None else float(limits[i]) * (1 + 1e-12) + 1e-12) for i in range(len(q_ids))]
         seen, compared = 0, np.zeros(len(q_ids), np.int64)
         found = []
         for batch in batches:
-            batch = batch.dropna()
-            ids, x = batch["id"].to_numpy(), np.stack(batch["v"].to_numpy()).astype(float) if len(batch) else np.zeros((0, 0))
+            x, ids = arrays.matrix(batch, "v", "id")
             if not len(ids):
                 continue
             seen += len(ids)
@@ -208,7 +213,7 @@ def scan(data: DataFrame, block: Queries, k: int, *, id_col: str, vector_col: st
         yield pd.DataFrame({"q_id": q_ids, "vec_id": pd.array([None] * len(q_ids), "Int64"), "d2": compared.astype(float), "n": seen})
 
     rows = data.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return rows.mapInPandas(run, "q_id long, vec_id long, d2 double, n long")
+    return rows.mapInArrow(run, "q_id long, vec_id long, d2 double, n long")
 
 
 def lowers(summary: Summary, qs: np.ndarray, held: object) -> np.ndarray:

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,8 @@ class Tree:
     length: int
     leaf_size: int
     nodes: dict[int, Node] = field(default_factory=dict)
+    #: Some series, by hash of the id, that searches choose their filter on.
+    sample: np.ndarray | None = None
 
     def leaves(self) -> list[Node]:
         return [n for _, n in sorted(self.nodes.items()) if n.split is None]
@@ -303,15 +306,25 @@ def _combined(rows: DataFrame) -> DataFrame:
     return merged.select(*[c.split()[0] for c in SYNOPSIS.split(", ")])
 
 
+def sampled(series: DataFrame, tree: Tree) -> np.ndarray:
+    """About SEED_ROWS series chosen by hash: rows that lie together are of one leaf."""
+    rows = max(1, sum(n.size for n in tree.leaves()))
+    some = F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(1 << 30)) < min(1 << 30, (knn.SEED_ROWS << 30) // rows + 1)
+    got = series.where(some).limit(2 * knn.SEED_ROWS).select("v").toPandas()["v"]
+    return np.stack(got.to_numpy()) if len(got) else np.zeros((0, tree.length))
+
+
 def write(data: DataFrame, tree: Tree, path: str, **columns_) -> None:
     """nodes, settings and series under path; series sorted by leaf. What is appended later has numbers of its own (``streaming.ingest``)."""
     spark = data.sparkSession
     nodes_table(spark, tree).write.mode("overwrite").parquet(f"{path}/nodes")
     spark.createDataFrame([(tree.length, tree.leaf_size)], "length int, leaf_size long").write.mode("overwrite").parquet(f"{path}/settings")
-    spark.createDataFrame([], SYNOPSIS).write.mode("overwrite").parquet(f"{path}/synopsis/batch=-1")
     rows = assigned(data, tree, **columns_)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.repartitionByRange(parts, "leaf_id", "vec_id").sortWithinPartitions("leaf_id", "vec_id").write.mode("overwrite").parquet(f"{path}/series/batch=-1")
+    held = spark.read.schema("leaf_id long, vec_id long, v array<double>").parquet(f"{path}/series/batch=-1")
+    spark.createDataFrame([(x.tolist(),) for x in sampled(held, tree)], "v array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/sample")
+    spark.createDataFrame([], SYNOPSIS).write.mode("overwrite").parquet(f"{path}/synopsis/batch=-1")
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, Tree]:
@@ -319,6 +332,8 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, Tree]:
     series = spark.read.schema("leaf_id long, vec_id long, v array<double>, batch long").parquet(f"{path}/series").drop("batch")
     settings = spark.read.parquet(f"{path}/settings").first()
     tree = loaded(spark.read.parquet(f"{path}/nodes"), settings["leaf_size"])
+    kept = spark.read.parquet(f"{path}/sample").toPandas()["v"]
+    tree.sample = np.stack(kept.to_numpy()) if len(kept) else np.zeros((0, tree.length))
     tree.widen(list(_combined(spark.read.schema(SYNOPSIS + ", batch long").parquet(f"{path}/synopsis").drop("batch")).toLocalIterator()))
     return series, tree
 
@@ -352,14 +367,14 @@ def leaf_scan(series: DataFrame, block: knn.Queries, tree, allowed: np.ndarray,
     rows = series.where(F.col("leaf_id").isin(wanted.tolist())) if len(wanted) < min(len(leaves), 2000) else series
     shared = series.sparkSession.sparkContext.broadcast((block, leaves, allowed, limits))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (q_ids, qs), names, may, bound = shared.value
         best = [knn.Best(k, np.inf if bound is None else float(bound[i]) * (1 + 1e-12) + 1e-12) for i in range(len(q_ids))]
         for batch in batches:
-            if not len(batch):
+            x, ids, leaf = arrays.matrix(batch, "v", "vec_id", "leaf_id")
+            if not len(ids):
                 continue
-            x, ids = np.stack(batch["v"].to_numpy()), batch["vec_id"].to_numpy()
-            at = np.searchsorted(names, batch["leaf_id"].to_numpy())
+            at = np.searchsorted(names, leaf)
             asked = np.flatnonzero(may[:, np.unique(at)].any(axis=1))  # a batch is of few leaves
             if not len(asked):
                 continue
@@ -369,9 +384,10 @@ def leaf_scan(series: DataFrame, block: knn.Queries, tree, allowed: np.ndarray,
                 live &= knn.lowers(summary, qs[asked], held) <= some[:, None] + 1e-9
             knn.offer_near([best[i] for i in asked], x, ids, qs[asked], live)
         for i, b in enumerate(best):
-            yield pd.DataFrame({"q_id": q_ids[i], "vec_id": b.ids, "d2": b.d})
+            if len(b.ids):
+                yield pa.RecordBatch.from_pydict({"q_id": np.full(len(b.ids), q_ids[i]), "vec_id": b.ids, "d2": b.d})
 
-    return rows.select("leaf_id", "vec_id", "v").mapInPandas(run, "q_id long, vec_id long, d2 double")
+    return rows.select("leaf_id", "vec_id", "v").mapInArrow(run, "q_id long, vec_id long, d2 double")
 
 
 def kth_distances(found: DataFrame, k: int, q_ids: np.ndarray) -> np.ndarray:
@@ -414,12 +430,9 @@ def search(series: DataFrame, tree: Tree, queries: DataFrame, k: int, *, approxi
         summary = None
         if 1 - allowed.mean() >= eapca_threshold and tree.length >= 16:
             summary = knn.SaxSummary()
-            # A sample by hash: rows that lie together are of one leaf.
-            rows = max(1, sum(x.size for x in tree.leaves()))
-            some = F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(1 << 30)) < min(1 << 30, (knn.SEED_ROWS << 30) // rows + 1)
-            sample = series.where(some).limit(2 * knn.SEED_ROWS).select("v").toPandas()["v"]
+            sample = sampled(series, tree) if tree.sample is None else tree.sample
             if len(sample):
-                held = summary.of(np.stack(sample.to_numpy()))
+                held = summary.of(sample)
                 gone = np.mean([(summary.lower(q, held) > d).mean() for q, d in zip(block[1], kth, strict=True)])
                 summary = summary if gone >= sax_threshold else None
         parts.append(leaf_scan(series, block, tree, allowed, k, limits=kth, summary=summary))
