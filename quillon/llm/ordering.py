@@ -43,7 +43,7 @@ RANGE_ROWS, MOST_RANGES = 4096, 1 << 15
 #: Ranges up to which their bases, 12 bytes each, are broadcast; beyond, they are joined by a shuffle.
 MOST_TASKS = 1_000_000
 #: Ids of one chunk help to compress the single sequences on their way to the shards.
-DICTIONARY_BYTES = 1 << 16
+DICTIONARY_BYTES, LEVEL = 1 << 16, 6
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def chunks(docs: DataFrame, length: int, *, id_col: str = "doc_id", text_col: st
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, pack = tokens.encoder(json_path, ranks_path).ids, zstandard.ZstdCompressor(level=3)
+        encode, pack = tokens.encoder(json_path, ranks_path).ids, zstandard.ZstdCompressor(level=LEVEL)
         part, chunk, held, n, full = TaskContext.get().partitionId(), 0, [], 0, CHUNK * length  # a partition is a range
 
         def row(ids: np.ndarray, filled: int) -> tuple:
@@ -155,7 +155,7 @@ def materialise(docs: DataFrame, folder: str, *, key: int, length: int = 2048, s
     order = Permutation(total, key)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         for batch in batches:
             for r in batch.itertuples(index=False):
                 ids = np.frombuffer(unpack.decompress(r.ids), "<u2").reshape(-1, length)
