@@ -7,8 +7,8 @@ length and alphabet (a word, a path, a counter) looks as random as this one does
 
 * uniformity: under the patterned null the chi-squared statistic of the symbols against uniform frequencies is noncentral, with a
   noncentrality that grows with the length; the p-value is the lower tail.
-* runs: patterned tokens change the class of symbol (lower, upper, digit) seldom; upper binomial tail of the observed changes. In a token
-  without a digit a change is the start of a word, capitalised or not, so that camelCase and snake_case names count as patterned.
+* runs: patterned tokens change the class of symbol (lower, upper, digit) seldom; upper binomial tail of the observed changes. A change is
+  the start of a word, capitalised or not, or of a number, so that camelCase, snake_case and numbered names count as patterned.
 * serial correlation: patterned tokens have correlated neighbours; by Fisher's z, the chance of a correlation as near to zero.
 
 Fisher's method combines the three. Within a document a weighted Benjamini-Hochberg step-up decides, with weights that rise with
@@ -44,9 +44,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PIECE = re.compile(r"[^=]+=*")
 #: The symbols of each encoding below; a hex part has one case.
 PARTS = tuple(map(re.compile, (r"[0-9a-f]{20,}", r"[0-9A-F]{20,}", r"[A-Z2-7]+=*", r"[A-Za-z0-9+/]+={0,2}", r"[A-Za-z0-9_-]+={0,2}")))
-HAS_DIGIT = re.compile(r"[0-9]")
 HAS_LETTER = re.compile(r"[A-Za-z]")
-WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]+|[a-z]")
+WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]+|[a-z]|[0-9]+")
 #: (name, members, alphabet) by increasing alphabet; a token has the first encoding that holds all its symbols.
 ENCODINGS = (
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), "0123456789abcdef"),
@@ -75,12 +74,18 @@ def _noncentral_chi2_cdf(x: float, df: float, nc: float) -> float:
 
 
 def _binomial_tail(n: int, p: float, k: int) -> float:
-    """P(X >= k)."""
-    if k <= 0:
-        return 1.0
-    if n > 400:
-        return 1 - _normal_cdf((k - 0.5 - n * p) / math.sqrt(n * p * (1 - p)))
-    return min(1.0, sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)))
+    """P(X >= k), summed from the largest term of the tail or of what is below it."""
+    if not 0 < k <= n:
+        return 1.0 if k <= 0 else 0.0
+    above = k > n * p
+    i = k if above else k - 1
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    total = 0.0
+    while term > 1e-17 * total:
+        total += term
+        term *= (n - i) / (i + 1) * p / (1 - p) if above else i / (n - i + 1) * (1 - p) / p
+        i += 1 if above else -1
+    return min(1.0, total) if above else max(0.0, 1 - total)
 
 
 def _chi2_tail_even(x: float, df: int) -> float:
@@ -121,9 +126,7 @@ def randomness_p(token: str) -> float:
         counts[v] = counts.get(v, 0) + 1
     chi2 = sum(c * c for c in counts.values()) * k / n - n
     p_uniform = _noncentral_chi2_cdf(chi2, k - 1, n * NULL_EXCESS)
-    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in body]
-    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False)) if HAS_DIGIT.search(body) else max(0, len(WORD.findall(body)) - 1)
-    p_runs = _binomial_tail(n - 1, NULL_CHANGE, changes)
+    p_runs = _binomial_tail(n - 1, NULL_CHANGE, max(0, len(WORD.findall(body)) - 1))
     mean = sum(values) / n
     spread = sum((v - mean) ** 2 for v in values)
     r = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:], strict=False)) / spread if spread else 1.0

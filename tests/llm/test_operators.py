@@ -648,6 +648,28 @@ def test_random_tokens_look_random_and_words_do_not():
         assert secrets.randomness_p(t) > 1e-3
 
 
+def test_the_battery_finds_keys_and_leaves_names_with_numbers_alone():
+    """Planted in prose: of 200 keys of 32 symbols of each alphabet nearly all are found, of 300 numbered names none."""
+    r = random.Random(6)
+    for _, _, alphabet in secrets.ENCODINGS:
+        keys = ["".join(r.choice(alphabet.upper()[:16] if len(alphabet) == 16 else alphabet) for _ in range(32)) for _ in range(200)]
+        assert sum(bool(secrets.all_spans(f"walks under {k} light", 1e-3)) for k in keys) >= 170
+    for i in range(300):
+        words = [r.choice(WORDS) + r.choice(["", "ing"]) for _ in range(6)]
+        for name in ("-".join([*words, str(i)]), "_".join([*words, f"v{i}"]), "".join(map(str.title, words)) + str(i), f"backup-2024-03-{i % 28:02}-{words[0]}-{words[1]}"):
+            assert secrets.all_spans(f"walks under {name} light", 1e-3) == [], name
+
+
+def test_binomial_tail_is_the_sum_of_its_terms_at_every_length():
+    from math import comb
+
+    for n in (1, 7, 60, 400, 401, 700):
+        for k in (-1, 0, 1, 2, n // 8, n // 3, n, n + 1):
+            terms = [comb(n, i) * 3**i * 22 ** (n - i) for i in range(max(0, k), n + 1)]
+            assert secrets._binomial_tail(n, 0.12, k) == pytest.approx(sum(terms) / 25**n if terms else 0.0, rel=1e-9, abs=1e-13)
+    assert 0 < secrets._binomial_tail(1_000_000, 0.12, 121_000) < 0.01
+
+
 def test_secrets_behind_names_paths_and_without_digits_are_found():
     value = "q8Zk3Lw0Xv7Tn2Rb9Yc5Hd1Mf6Gj4Ps"
     aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEK3Y"
