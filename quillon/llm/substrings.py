@@ -158,8 +158,9 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     k = s.astype(U)
     for width in (1, 2, 4):
         k = (k << U(8 * width)) | np.roll(k, -width)
-    order = np.argsort(k, kind="stable")
-    new = np.r_[True, k[order][1:] != k[order][:-1]]
+    order = np.argsort(k)
+    k = k[order]
+    new = np.r_[True, k[1:] != k[:-1]]
     rank = np.empty(n, np.int64)  # the first place of the rotations that are equal so far
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     tied = ~new | np.r_[~new[1:], False]
@@ -167,7 +168,7 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     while len(at) and width < n:
         old = rank[at]
         key = (old.astype(U) << U(32)) | rank[(at + width) % n].astype(U)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         at, old, key = at[by], old[by], key[by]
         new = np.r_[True, key[1:] != key[:-1]]
         places = np.arange(len(at))
@@ -175,29 +176,33 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
         rank[at] = old + np.maximum.accumulate(np.where(new, places, 0)) - group
         at = at[~new | np.r_[~new[1:], False]]
         width *= 2
-    return np.argsort(rank, kind="stable")
+    if len(at):  # rotations that are equal all round
+        return np.argsort(rank, kind="stable")
+    order[rank] = np.arange(n)
+    return order
 
 
 def repeated_prefixes(text: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """order, group: the positions of text (symbols, read in a circle) by their first ``least`` symbols, and for each place of the order the
     number of its class of equal first ``least`` symbols."""
     n = len(text)
-    s = np.searchsorted(np.unique(text), text).astype(np.int64)
+    s = (np.cumsum(np.bincount(text) > 0) - 1)[text].astype(np.uint8)
     order = suffix_order(s)
     bwt = s[order - 1]
-    by_symbol = np.argsort(bwt, kind="stable")  # places of the transform by symbol: the j-th is where the j-th suffix comes from
-    back = np.empty(n, np.int64)
-    back[by_symbol] = np.arange(n)
-    following, before = np.full(n, n, np.int64), np.full(n, -1, np.int64)
-    equal = bwt[by_symbol][1:] == bwt[by_symbol][:-1]
+    by_symbol = np.argsort(bwt, kind="stable").astype(np.int32)  # places of the transform by symbol: the j-th is where the j-th suffix comes from
+    back = np.empty(n, np.int32)
+    back[by_symbol] = np.arange(n, dtype=np.int32)
+    following, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)
+    equal = np.diff(bwt[by_symbol]) == 0
     following[by_symbol[:-1][equal]] = by_symbol[1:][equal]
     before[by_symbol[1:][equal]] = by_symbol[:-1][equal]
     parted = np.zeros(n + 1, bool)  # whether the common prefix of a place and the one before is known, and so is shorter
     parted[[0, n]] = True
-    lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    lo, hi = np.zeros(1, np.int32), np.full(1, n, np.int32)
     for _ in range(least):
         size = hi - lo
-        place = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+        total = np.cumsum(size, dtype=np.int32)
+        place = np.arange(total[-1], dtype=np.int32) + np.repeat(lo - (total - size), size)
         low, high = np.repeat(lo, size), np.repeat(hi, size)
         left = np.sort(back[place[before[place] < low]])  # first and last of each symbol in each interval
         right = np.sort(back[place[following[place] >= high]]) + 1
