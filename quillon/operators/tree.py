@@ -17,7 +17,8 @@ The index is two Parquet tables: nodes, and series sorted by leaf, so that a fil
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -242,13 +243,17 @@ def build(data: DataFrame, leaf_size: int, *, segments: int = 1, id_col: str = "
     return tree
 
 
+_SKETCH = "array<struct<max_mean:double,min_mean:double,max_sd:double,min_sd:double>>"
+NODES = f"node_id long, parent_id long, level int, is_leaf boolean, size long, ends array<int>, sketch {_SKETCH}, split struct<start:int,end:int,statistic:int,threshold:double>"
+SETTINGS, SAMPLE = "length int, leaf_size long", "v array<double>"
+
+
 def nodes_table(spark: SparkSession, tree: Tree) -> DataFrame:
     rows = [
         (n.id, n.parent, n.level, n.split is None, n.size, n.ends, [] if n.sketch is None else [tuple(map(float, s)) for s in n.sketch], n.split)
         for n in tree.nodes.values()
     ]
-    sketch = "array<struct<max_mean:double,min_mean:double,max_sd:double,min_sd:double>>"
-    return spark.createDataFrame(rows, f"node_id long, parent_id long, level int, is_leaf boolean, size long, ends array<int>, sketch {sketch}, split struct<start:int,end:int,statistic:int,threshold:double>")
+    return spark.createDataFrame(rows, NODES)
 
 
 def loaded(nodes: DataFrame, leaf_size: int) -> Tree:
@@ -314,27 +319,49 @@ def sampled(series: DataFrame, tree: Tree) -> np.ndarray:
     return np.stack(got.to_numpy()) if len(got) else np.zeros((0, tree.length))
 
 
+def _at_once(*jobs: Callable[[], object]) -> list:
+    """The results of small jobs that don't need each other."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 def write(data: DataFrame, tree: Tree, path: str, **columns_) -> None:
     """nodes, settings and series under path; series sorted by leaf. What is appended later has numbers of its own (``streaming.ingest``)."""
     spark = data.sparkSession
-    nodes_table(spark, tree).write.mode("overwrite").parquet(f"{path}/nodes")
-    spark.createDataFrame([(tree.length, tree.leaf_size)], "length int, leaf_size long").write.mode("overwrite").parquet(f"{path}/settings")
-    rows = assigned(data, tree, **columns_)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, "leaf_id", "vec_id").sortWithinPartitions("leaf_id", "vec_id").write.mode("overwrite").parquet(f"{path}/series/batch=-1")
-    held = spark.read.schema("leaf_id long, vec_id long, v array<double>").parquet(f"{path}/series/batch=-1")
-    spark.createDataFrame([(x.tolist(),) for x in sampled(held, tree)], "v array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/sample")
-    spark.createDataFrame([], SYNOPSIS).write.mode("overwrite").parquet(f"{path}/synopsis/batch=-1")
+
+    def to(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    def series() -> None:
+        to(assigned(data, tree, **columns_).repartitionByRange(parts, "leaf_id", "vec_id").sortWithinPartitions("leaf_id", "vec_id"), "series/batch=-1")
+        held = spark.read.schema("leaf_id long, vec_id long, v array<double>").parquet(f"{path}/series/batch=-1")
+        to(spark.createDataFrame([(x.tolist(),) for x in sampled(held, tree)], SAMPLE).coalesce(1), "sample")
+
+    _at_once(
+        series,
+        lambda: to(nodes_table(spark, tree), "nodes"),
+        lambda: to(spark.createDataFrame([(tree.length, tree.leaf_size)], SETTINGS), "settings"),
+        lambda: to(spark.createDataFrame([], SYNOPSIS), "synopsis/batch=-1"),
+    )
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, Tree]:
     """Series and tree, with everything appended so far: the synopsis is read after the series are listed, so it covers them."""
     series = spark.read.schema("leaf_id long, vec_id long, v array<double>, batch long").parquet(f"{path}/series").drop("batch")
-    settings = spark.read.parquet(f"{path}/settings").first()
-    tree = loaded(spark.read.parquet(f"{path}/nodes"), settings["leaf_size"])
-    kept = spark.read.parquet(f"{path}/sample").toPandas()["v"]
+
+    def of(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+    settings, tree, kept, widened = _at_once(
+        lambda: of("settings", SETTINGS).first(),
+        lambda: loaded(of("nodes", NODES), 0),
+        lambda: of("sample", SAMPLE).toPandas()["v"],
+        lambda: list(_combined(of("synopsis", SYNOPSIS + ", batch long").drop("batch")).toLocalIterator()),
+    )
+    tree.leaf_size = settings["leaf_size"]
     tree.sample = np.stack(kept.to_numpy()) if len(kept) else np.zeros((0, tree.length))
-    tree.widen(list(_combined(spark.read.schema(SYNOPSIS + ", batch long").parquet(f"{path}/synopsis").drop("batch")).toLocalIterator()))
+    tree.widen(widened)
     return series, tree
 
 
@@ -398,6 +425,11 @@ def kth_distances(found: DataFrame, k: int, q_ids: np.ndarray) -> np.ndarray:
     return np.array([held.get(int(q), np.inf) for q in q_ids])
 
 
+def sample_kth(tree: Tree, qs: np.ndarray, k: int) -> np.ndarray:
+    """The k-th squared distance of each query to the sample of the index: the k-th over all series is no larger."""
+    return np.array([np.partition(arrays.squared_distances(tree.sample, q), k - 1)[k - 1] for q in qs])
+
+
 def nearest_leaves(lower: np.ndarray, n: int) -> np.ndarray:
     """queries x leaves: the n of least lower bound."""
     out = np.zeros(lower.shape, bool)
@@ -409,18 +441,23 @@ def search(series: DataFrame, tree: Tree, queries: DataFrame, k: int, *, approxi
     """q_id, vec_id, rank, dist.
 
     The leaves of least bound give each query a first k-th distance. With ``probes`` these leaves are the answer; else all leaves whose bound
-    is at most that over (1 + epsilon), on squared distances, are searched. If less than ``eapca_threshold`` of the leaves goes, rows are
+    is at most that over (1 + epsilon), on squared distances, are searched. Where these first leaves of an exact search are together most of
+    the index, as with many queries, reading them first would be a pass more: the sample that the index keeps gives the distance then. If less than ``eapca_threshold`` of the leaves goes, rows are
     compared one by one; else rows pass a filter by symbols first, unless a sample shows that less than ``sax_threshold`` of them would go.
     r_delta: a squared distance that is near enough: queries whose first answer is within (1 + epsilon) of it stop there."""
     parts = []
     for block in knn.query_blocks(queries, id_col, vector_col):
         lower = bounds(tree, block[1])
         first = nearest_leaves(lower, probes or approximate_leaves)
-        approximate = leaf_scan(series, block, tree, first, k)
-        if probes:
-            parts.append(approximate)
-            continue
-        kth = kth_distances(approximate, k, block[0])
+        kept = 0 if tree.sample is None else len(tree.sample)
+        if not (probes or epsilon or r_delta) and kept >= k and first.any(axis=0).mean() > 0.5:
+            kth = sample_kth(tree, block[1], k)
+        else:
+            approximate = leaf_scan(series, block, tree, first, k)
+            if probes:
+                parts.append(approximate)
+                continue
+            kth = kth_distances(approximate, k, block[0])
         allowed = lower <= (kth / (1 + epsilon) + 1e-9)[:, None]
         if r_delta:
             stop = kth <= r_delta * (1 + epsilon)
