@@ -50,10 +50,23 @@ def znorm(v: Column) -> Column:
     return let(v, lambda w: let(mean(w), lambda m: let(F.sqrt(_spread(w, m)), lambda s: scaled(w, m, s))))
 
 
-def running_sum(v: Column) -> Column:
+#: Points of a stretch that is summed by appending, which copies what is there at each point.
+STRETCH = 128
+
+
+def _appended_sum(v: Column) -> Column:
     return F.aggregate(v, F.expr("cast(array() as array<double>)"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
 
 
+def running_sum(v: Column) -> Column:
+    """Sums of all points so far: of each stretch, plus the sum of the stretches before, so that long series aren't copied once a point."""
+    cuts = lambda w: F.when(F.size(w) == 0, F.expr("cast(array() as array<int>)")).otherwise(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / STRETCH).cast("int")))
+    stretches = lambda w: F.transform(cuts(w), lambda i: _appended_sum(F.slice(w, i * STRETCH + 1, F.lit(STRETCH))))
+    before = lambda sums: F.concat(F.array(F.lit(0.0)), _appended_sum(F.transform(sums, lambda s: F.element_at(s, -1))))
+    joined = lambda sums, b: F.flatten(F.transform(sums, lambda s, i: F.transform(s, lambda x: x + F.get(b, i))))
+    return let(v, lambda w: let(stretches(w), lambda sums: let(before(sums), lambda b: joined(sums, b))))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 

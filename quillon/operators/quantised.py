@@ -6,7 +6,7 @@ from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, series
@@ -14,6 +14,8 @@ from . import knn
 
 #: Quantiles a dimension that k-means runs on: what reaches the driver doesn't grow with the rows.
 QUANTILES = 512
+#: Slices a dimension is sorted in.
+SLICES = 64
 
 
 def coefficients(data: DataFrame, length: int, n: int, *, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
@@ -37,14 +39,33 @@ def allocate(energy: list[float], bits: int) -> list[int]:
 
 
 def equidepth(coefs: DataFrame, bits: list[int]) -> DataFrame:
-    """dim, border, x: the inner borders, cells - 1 quantiles of each dimension."""
-    most = max(bits)
-    asked = sorted({i / 2**b for b in bits for i in range(1, 2**b)}) or [0.5]
-    rows = coefs.groupBy("dim").agg(F.percentile("x", F.array(*map(F.lit, asked))).alias("q")).select("dim", F.posexplode("q").alias("i", "x"))
-    places = {(d, asked.index(i / 2**b)): i for d, b in enumerate(bits) for i in range(1, 2**b)}
-    table = coefs.sparkSession.createDataFrame([(d, j, i) for (d, j), i in places.items()] or [(-1, -1, -1)], "dim int, i int, border int")
-    assert most <= 20
-    return rows.join(F.broadcast(table), ["dim", "i"]).select("dim", "border", "x")
+    """dim, border, x: the inner borders, cells - 1 exact quantiles of each dimension, linear between two ranks.
+
+    Equal values are counted before they are shuffled. Rough quantiles cut each dimension into slices; the sizes of these tell in which slice
+    each rank lies and at which place, and only those slices are sorted, so that no task sees more than a slice of a dimension."""
+    spark = coefs.sparkSession
+    assert max(bits) <= 20
+    known = coefs.where(F.col("x").isNotNull())
+    rough = known.groupBy("dim").agg(F.percentile_approx("x", [i / SLICES for i in range(1, SLICES)], 10_000).alias("edges")).collect()  # a row a dimension
+    edges = spark.createDataFrame(rough, "dim int, edges array<double>")
+    counts = known.groupBy("dim", "x").agg(F.count("*").alias("n"))
+    values = counts.join(F.broadcast(edges), "dim").select("dim", "x", "n", F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("slice"))
+    sizes = values.groupBy("dim", "slice").agg(F.sum("n").alias("n")).collect()  # SLICES rows a dimension
+    wanted = []
+    for d, b in enumerate(bits):
+        slices = sorted((r["slice"], r["n"]) for r in sizes if r["dim"] == d)
+        starts = np.cumsum([0] + [n for _, n in slices])
+        for i in range(1, 2**b) if slices else ():
+            at = i / 2**b * (int(starts[-1]) - 1)
+            for rank, weight in ((int(at), 1 - at % 1), (int(at) + 1, at % 1)):
+                if weight:
+                    k = int(np.searchsorted(starts, rank, side="right")) - 1
+                    wanted.append((d, slices[k][0], i, rank - int(starts[k]), weight))
+    ranks = spark.createDataFrame(wanted, "dim int, slice int, border int, rank long, weight double")
+    w = Window.partitionBy("dim", "slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    some = values.join(F.broadcast(ranks.select("dim", "slice").distinct()), ["dim", "slice"], "left_semi").withColumn("end", F.sum("n").over(w))
+    found = some.join(F.broadcast(ranks), ["dim", "slice"]).where("rank < end AND rank >= end - n")
+    return found.groupBy("dim", "border").agg(F.sum(F.col("x") * F.col("weight")).alias("x"))
 
 
 def equiwidth(coefs: DataFrame, cells: int) -> DataFrame:

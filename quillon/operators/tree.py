@@ -33,6 +33,8 @@ from . import knn
 
 #: Numbers (8 bytes each) of a leaf's rows that one task finishes.
 LOCAL_NUMBERS = 4_000_000
+#: Pairs of a query and a node that a task holds.
+PAIRS = 1 << 18
 
 
 @dataclass
@@ -365,7 +367,7 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, Tree]:
     return series, tree
 
 
-def bounds(tree: Tree, qs: np.ndarray, which: str = "lower", nodes: list[Node] | None = None) -> np.ndarray:
+def bounds(tree: Tree | None, qs: np.ndarray, which: str = "lower", nodes: list[Node] | None = None) -> np.ndarray:
     """Squared lower or upper bounds, queries x nodes (the leaves, if not told)."""
     nodes = tree.leaves() if nodes is None else nodes
     out = np.full((len(qs), len(nodes)), np.inf)
@@ -525,16 +527,28 @@ def query_stats(series: DataFrame, tree: Tree, queries: DataFrame, k: int, *, ap
 
 
 def mindists(spark: SparkSession, tree: Tree, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
-    """q_id, node_id, level, is_leaf, segments, lower, upper, root_qos of every node for every query, a block of queries at a time."""
+    """q_id, node_id, level, is_leaf, segments, lower, upper, root_qos of every node for every query. Tasks make the pairs, each of some nodes
+    with a block of queries, a bounded number at a time."""
     nodes = [n for _, n in sorted(tree.nodes.items()) if n.sketch is not None]
-    parts = []
-    for ids, qs in knn.query_blocks(queries, id_col, vector_col):
-        low, up = bounds(tree, qs, "lower", nodes), bounds(tree, qs, "upper", nodes)
-        for i, n in enumerate(nodes):
-            qos = float(sum(looseness(a, *s[:3]) for a, s in zip(n.lengths, n.sketch, strict=True))) ** 0.5
-            parts.append(pd.DataFrame({"q_id": ids, "node_id": n.id, "level": n.level, "is_leaf": n.split is None, "segments": len(n.ends), "lower": low[:, i], "upper": up[:, i], "root_qos": qos}))
+    held, out = spark.sparkContext.broadcast(nodes), None
     schema = "q_id long, node_id long, level int, is_leaf boolean, segments int, lower double, upper double, root_qos double"
-    return spark.createDataFrame(pd.concat(parts) if parts else [], schema)
+    for block in knn.query_blocks(queries, id_col, vector_col):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, qs = shared.value
+            step = max(1, PAIRS // len(ids))
+            for batch in batches:
+                for at in range(0, len(batch), step):
+                    some = [held.value[i] for i in batch["id"].iloc[at : at + step]]
+                    low, up = bounds(None, qs, "lower", some), bounds(None, qs, "upper", some)
+                    for i, n in enumerate(some):
+                        qos = float(sum(looseness(a, *s[:3]) for a, s in zip(n.lengths, n.sketch, strict=True))) ** 0.5
+                        yield pd.DataFrame({"q_id": ids, "node_id": n.id, "level": n.level, "is_leaf": n.split is None, "segments": len(n.ends), "lower": low[:, i], "upper": up[:, i], "root_qos": qos})
+
+        part = spark.range(len(nodes)).mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def pruned_nodes(series: DataFrame, tree: Tree, queries: DataFrame, k: int, approximate_leaves: int = 80) -> DataFrame:

@@ -42,6 +42,14 @@ def test_summaries_match_numpy(spark, walks):
     assert np.allclose([x["lower"] for x in row["e"][0]], low)
 
 
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 400])
+def test_running_sums_of_any_length(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    got = spark.createDataFrame([(x.tolist(),), (None,)], "v array<double>").select(series.running_sum(F.col("v"))).collect()
+    assert np.allclose(got[0][0], x.cumsum()) and len(got[0][0]) == n
+    assert got[1][0] is None
+
+
 def test_a_value_on_a_breakpoint_has_the_lower_symbol(spark):
     cuts = series.breakpoints(8)
     x = [cuts[2], np.nextafter(cuts[2], 9), -50.0, 50.0, 0.0]

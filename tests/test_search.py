@@ -68,6 +68,16 @@ def test_quantised_search_and_its_bounds(walks, matrix, how):
         assert (cells.upper(matrix[q], held) >= near - 1e-9).all()
 
 
+def test_borders_are_exact_quantiles_with_ties_nulls_and_absent_dimensions(spark):
+    rng = np.random.default_rng(3)
+    x = {0: rng.normal(size=5000), 1: np.r_[np.full(700, 2.5), rng.normal(size=301)], 2: np.array([4.0])}
+    rows = [(d, float(y)) for d, values in x.items() for y in values] + [(0, None)]
+    got = {(r["dim"], r["border"]): r["x"] for r in quantised.equidepth(spark.createDataFrame(rows, "dim int, x double"), [5, 3, 1, 2]).collect()}
+    want = {(d, i): np.quantile(x[d], i / 2**b) for d, b in enumerate([5, 3, 1]) for i in range(1, 2**b)}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    assert quantised.equidepth(spark.createDataFrame([], "dim int, x double"), [2]).collect() == []
+
+
 def test_tree_search_is_exact_and_its_bounds_hold(walks, matrix, index):
     held, built = index
     want = brute(matrix, QUERIES, 7)
