@@ -552,17 +552,35 @@ def mindists(spark: SparkSession, tree: Tree, queries: DataFrame, *, id_col: str
 
 
 def pruned_nodes(series: DataFrame, tree: Tree, queries: DataFrame, k: int, approximate_leaves: int = 80) -> DataFrame:
-    """The nodes whose bound passes the first k-th distance (bsf) of a query, without those below them."""
+    """The nodes whose bound passes the first k-th distance (bsf) of a query, without those below them. Tasks make the pairs, of some nodes in
+    preorder, so that a node's ancestors are among them or above the first, and send only the nodes that are cut."""
     spark = series.sparkSession
-    rows = []
+    nodes = sorted((n for n in tree.nodes.values() if n.sketch is not None), key=lambda n: bin(n.id))
+    held, out, schema = spark.sparkContext.broadcast(nodes), None, "q_id long, node_id long, level int, bsf double, lower double"
     for block in knn.query_blocks(queries, "vec_id", "v"):
         kth = kth_distances(leaf_scan(series, block, tree, nearest_leaves(bounds(tree, block[1]), approximate_leaves), k), k, block[0])
-        rows += [(int(q), float(d)) for q, d in zip(block[0], kth, strict=True)]
-    limits = spark.createDataFrame(rows, "q_id long, bsf double")
-    parents = F.expr("CAST(node_id div 2 AS LONG)").alias("parent_id")
-    cut = mindists(spark, tree, queries).join(limits, "q_id").where("lower > bsf").select("q_id", "node_id", "level", "bsf", "lower", parents)
-    above = cut.select("q_id", F.col("node_id").alias("parent_id"))
-    return cut.join(above, ["q_id", "parent_id"], "left_anti").select("q_id", "node_id", "level", F.round(F.sqrt("bsf"), 6).alias("bsf"), F.round(F.sqrt("lower"), 6).alias("lower"))
+        shared = spark.sparkContext.broadcast((block, kth))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            (ids, qs), bsf = shared.value
+            step, by = max(1, PAIRS // len(ids)), {n.id: n for n in held.value}
+            for batch in batches:
+                for at in range(0, len(batch), step):
+                    some = [held.value[i] for i in batch["id"].iloc[at : at + step]]
+                    above = [by[some[0].id >> up] for up in range(some[0].id.bit_length() - 1, 0, -1)]
+                    low = bounds(None, qs, "lower", above + some)
+                    gone = {0: np.zeros(len(ids), bool)}  # by node, the queries for which it or a node above it is cut
+                    for i, n in enumerate(above + some):
+                        over = gone[n.id >> 1]
+                        cut = (low[:, i] > bsf) & ~over
+                        gone[n.id] = over | cut
+                        if i >= len(above) and cut.any():
+                            yield pd.DataFrame({"q_id": ids[cut], "node_id": n.id, "level": n.level, "bsf": bsf[cut], "lower": low[cut, i]})
+
+        part = spark.range(len(nodes)).mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    out = out if out is not None else spark.createDataFrame([], schema)
+    return out.select("q_id", "node_id", "level", F.round(F.sqrt("bsf"), 6).alias("bsf"), F.round(F.sqrt("lower"), 6).alias("lower"))
 
 
 def progressive(series: DataFrame, tree: Tree, queries: DataFrame) -> DataFrame:

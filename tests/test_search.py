@@ -128,6 +128,29 @@ def test_progressive_search_ends_at_the_nearest(walks, index):
         assert first["bsf"] == mine[-1]["bsf"]
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pruned_nodes_are_the_first_on_their_path_and_nothing_is_broadcast(walks, matrix, index):
+    held, built = index
+    cut = tree.pruned_nodes(held, built, asked(walks), 5, approximate_leaves=1)
+    assert "Broadcast" not in planned(cut)
+    nodes = [n for _, n in sorted(built.nodes.items())]  # parents come first
+    low, leaf = tree.bounds(None, matrix[QUERIES], nodes=nodes), built.route(matrix)
+    leaves, want = np.array([n.id for n in built.leaves()]), set()
+    for i, q in enumerate(QUERIES):
+        home = leaves[tree.nearest_leaves(tree.bounds(built, matrix[[q]]), 1)[0]][0]
+        bsf, gone = np.sort(arrays.squared_distances(matrix[leaf == home], matrix[q]))[4], set()
+        for j, n in enumerate(nodes):
+            if n.id >> 1 in gone:
+                gone.add(n.id)
+            elif low[i, j] > bsf:
+                gone.add(n.id)
+                want.add((q, n.id, n.level, round(float(bsf) ** 0.5, 5)))
+    assert want and {(r["q_id"], r["node_id"], r["level"], round(r["bsf"], 5)) for r in cut.collect()} == want
+
+
 def test_words_route_to_leaves_that_hold_them(walks, matrix):
     built = words.build(walks, 40)
     w = built.words(matrix)
