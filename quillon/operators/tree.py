@@ -551,6 +551,42 @@ def mindists(spark: SparkSession, tree: Tree, queries: DataFrame, *, id_col: str
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def extremes(series: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
+    """q_id, node_id, n, low, high: for each query and node the number of rows under it and the extremes of their squared distances, by
+    differences. Tasks climb from the leaves they read to the nodes above; the id of a parent is half of its children's."""
+    out, schema = None, "q_id long, node_id long, n long, low double, high double"
+    for block in knn.query_blocks(queries, id_col, vector_col):
+        shared = series.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, qs = shared.value
+            for batch in batches:
+                x, leaf = arrays.matrix(batch, "v", "leaf_id")
+                if not len(leaf):
+                    continue
+                order = np.argsort(leaf, kind="stable")
+                x = x[order]
+                leaves, starts, sizes = np.unique(leaf[order], return_index=True, return_counts=True)
+                names = np.array(sorted({int(a) >> up for a in leaves for up in range(int(a).bit_length())}, reverse=True))  # children come first
+                place = {a: i for i, a in enumerate(names.tolist())}
+                mine, parent = [place[a] for a in leaves.tolist()], [place.get(a >> 1) for a in names.tolist()]
+                for at in range(0, len(ids), knn.TILE):
+                    d = np.stack([arrays.squared_distances(x, q) for q in qs[at : at + knn.TILE]], axis=1)
+                    n, low, high = np.zeros(len(names), np.int64), np.full((len(names), d.shape[1]), np.inf), np.full((len(names), d.shape[1]), -np.inf)
+                    n[mine], low[mine], high[mine] = sizes, np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
+                    for i, up in enumerate(parent):
+                        if up is not None:
+                            n[up] += n[i]
+                            np.minimum(low[up], low[i], out=low[up])
+                            np.maximum(high[up], high[i], out=high[up])
+                    yield pa.RecordBatch.from_pydict({"q_id": np.tile(ids[at : at + knn.TILE], len(names)), "node_id": np.repeat(names, d.shape[1]), "n": np.repeat(n, d.shape[1]), "low": low.ravel(), "high": high.ravel()})
+
+        part = series.select("leaf_id", "v").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    out = out if out is not None else series.sparkSession.createDataFrame([], schema)
+    return out.groupBy("q_id", "node_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def pruned_nodes(series: DataFrame, tree: Tree, queries: DataFrame, k: int, approximate_leaves: int = 80) -> DataFrame:
     """The nodes whose bound passes the first k-th distance (bsf) of a query, without those below them. Tasks make the pairs, of some nodes in
     preorder, so that a node's ancestors are among them or above the first, and send only the nodes that are cut."""

@@ -1,11 +1,14 @@
 """Every exact strategy against brute force, and what must hold of the others."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import arrays
 from quillon.operators import knn, quantised, tree, warping, words
+from quillon.plans import queries as plans
 from quillon.sources import tables
 from quillon.streaming import ingest
 
@@ -151,6 +154,22 @@ def test_pruned_nodes_are_the_first_on_their_path_and_nothing_is_broadcast(walks
     assert want and {(r["q_id"], r["node_id"], r["level"], round(r["bsf"], 5)) for r in cut.collect()} == want
 
 
+def test_extremes_are_those_of_the_rows_under_each_node(walks, matrix, index):
+    held, built = index
+    got = {(r["q_id"], r["node_id"]): r for r in tree.extremes(held, asked(walks)).collect()}
+    passed = {n.id: rows for n, rows in built.visited(matrix)}
+    assert got.keys() == {(q, at) for q in QUERIES for at in passed}
+    for (q, at), r in got.items():
+        d = arrays.squared_distances(matrix[passed[at]], matrix[q])
+        assert r["n"] == len(d) and abs(r["low"] - d.min()) < 1e-9 and abs(r["high"] - d.max()) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["pruned_nodes_checks"])
+def test_checks_of_nodes_broadcast_no_pairs(spark, name):
+    plan = planned(plans.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert re.search(r"SortMergeJoin \[q_id#\d+L, node_id", plan) and not re.search(r"Broadcast\w+Join \[q_id#\d+L, node_id", plan)
+
+
 def test_words_route_to_leaves_that_hold_them(walks, matrix):
     built = words.build(walks, 40)
     w = built.words(matrix)
