@@ -511,20 +511,12 @@ def effective_epsilon_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("q_id", "exact", F.when(fine, 0).otherwise(1).cast("long").alias("wrong"))
 
 
-def _true_extremes(w: DataFrame, rows: DataFrame) -> DataFrame:
-    """q_id, node_id, n, low, high: extremes of the squared distances of each query to the rows under each node; ids of parents are halves."""
-    q = asked(w).select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"))
-    d = against(q, rows.select("leaf_id", "v")).select("q_id", "leaf_id", series.squared_distance(F.col("qv"), F.col("v")).alias("d"))
-    leaf = d.groupBy("q_id", "leaf_id").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
-    up = leaf.withColumn("node_id", F.explode(F.expr("transform(sequence(0, length(bin(leaf_id)) - 1), i -> shiftrightunsigned(leaf_id, i))")))
-    return up.groupBy("q_id", "node_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-
-
 @query(f"SELECT vec_id AS q_id, (SELECT count(*) FROM embeddings) AS n_rows, CAST(0 AS BIGINT) AS n_lower, CAST(0 AS BIGINT) AS n_upper, CAST(0 AS BIGINT) AS n_lost {_ASKED}")
 def node_mindists_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows under the root, and nodes whose lower or upper bound is on the wrong side of a distance, or that have no bound."""
+    """Rows under the root, and nodes whose lower or upper bound is on the wrong side of a distance, or that have no bound. Spark takes what
+    tasks make of a range for small, and would broadcast it."""
     w, held, found = _index(spark, sf_dir)
-    rows = _true_extremes(w, held).join(tree.mindists(spark, found, asked(w)), ["q_id", "node_id"], "left")
+    rows = tree.extremes(held, asked(w)).join(tree.mindists(spark, found, asked(w)).hint("merge"), ["q_id", "node_id"], "left")
     return rows.groupBy("q_id").agg(F.max("n").alias("n_rows"), F.count_if(F.col("lower") > F.col("low") + 1e-9).alias("n_lower"), F.count_if(F.col("upper") < F.col("high") - 1e-9).alias("n_upper"), F.count_if(F.col("lower").isNull()).alias("n_lost"))
 
 

@@ -164,7 +164,7 @@ def test_extremes_are_those_of_the_rows_under_each_node(walks, matrix, index):
         assert r["n"] == len(d) and abs(r["low"] - d.min()) < 1e-9 and abs(r["high"] - d.max()) < 1e-9
 
 
-@pytest.mark.parametrize("name", ["pruned_nodes_checks"])
+@pytest.mark.parametrize("name", ["node_mindists_checks", "pruned_nodes_checks"])
 def test_checks_of_nodes_broadcast_no_pairs(spark, name):
     plan = planned(plans.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert re.search(r"SortMergeJoin \[q_id#\d+L, node_id", plan) and not re.search(r"Broadcast\w+Join \[q_id#\d+L, node_id", plan)
