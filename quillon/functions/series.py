@@ -161,17 +161,30 @@ def sax_mindist(paa_: Column, word: Column, segments: int, length: int, cardinal
     return F.lit(float(length // segments)) * _sum(terms)
 
 
-def dtw_mindist(env: Column, word: Column, segments: int, length: int, cardinality: int) -> Column:
-    """Squared lower bound under time warping: as sax_mindist, of the envelope's segment extremes against the cells."""
+def envelope_means(env: Column, segments: int, length: int) -> list[Column]:
+    """Two arrays: the means over equal segments of an envelope's upper and lower extremes."""
+    step = length // segments
+    cells = [part(env, i * step, (i + 1) * step) for i in range(segments)]
+    return [F.array(*[mean(F.transform(c, lambda e: e[side])) for c in cells]) for side in ("upper", "lower")]
+
+
+def cell_borders(word: Column, cardinality: int) -> list[Column]:
+    """Two arrays: the lower and upper borders of the symbols' cells; outer cells are open."""
     cuts = breakpoints(cardinality)
-    lower, upper = F.array(F.lit(-1e300), *map(F.lit, cuts)), F.array(*map(F.lit, cuts), F.lit(1e300))
-    step, terms = length // segments, []
-    for i in range(segments):
-        s = F.get(word, F.lit(i))
-        cell = part(env, i * step, (i + 1) * step)
-        top, low = mean(F.transform(cell, lambda e: e["upper"])), mean(F.transform(cell, lambda e: e["lower"]))
-        terms.append(_square(F.greatest(F.get(lower, s) - top, low - F.get(upper, s), F.lit(0.0))))
-    return F.lit(float(step)) * _sum(terms)
+    return [F.transform(word, lambda s: F.get(borders, s)) for borders in (F.array(F.lit(-1e300), *map(F.lit, cuts)), F.array(*map(F.lit, cuts), F.lit(1e300)))]
+
+
+def interval_gap(top: Column, low: Column, cell_low: Column, cell_high: Column, segments: int, length: int) -> Column:
+    """Squared lower bound under time warping, from ``envelope_means`` of one series and ``cell_borders`` of the other."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    terms = [_square(F.greatest(at(cell_low, i) - at(top, i), at(low, i) - at(cell_high, i), F.lit(0.0))) for i in range(segments)]
+    return F.lit(float(length // segments)) * _sum(terms)
+
+
+def dtw_mindist(env: Column, word: Column, segments: int, length: int, cardinality: int) -> Column:
+    """Squared lower bound under time warping: as sax_mindist, of the envelope's segment extremes against the cells. Against many words, make
+    ``envelope_means`` once a series."""
+    return interval_gap(*envelope_means(env, segments, length), *cell_borders(word, cardinality), segments, length)
 
 
 def eapca_lower(a: Column, b: Column, lengths: list[int]) -> Column:

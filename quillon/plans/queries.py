@@ -714,11 +714,14 @@ u AS (SELECT vec_id, {_ENV.format(f='max', n='hi')}, {_ENV.format(f='min', n='lo
 q AS (SELECT vec_id AS q_id, list_transform(range(0, 16), lambda i: list_sum(hi[4 * i + 1:4 * i + 4]) / 4) AS top, list_transform(range(0, 16), lambda i: list_sum(lo[4 * i + 1:4 * i + 4]) / 4) AS low FROM u)
 SELECT q_id, vec_id, round(sqrt(4 * list_sum(list_transform(range(1, 17), lambda i: greatest(y.lo[y.word[i] + 1] - q.top[i], q.low[i] - y.hi[y.word[i] + 1], 0) ** 2))), 6) AS lb FROM q, y""")
 def dtw_mindist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words' bound of the warping distance."""
-    w = tables.walks(spark, sf_dir).select("vec_id", "v", series.sax(F.col("v"), SEGMENTS, LENGTH, CARDINALITY).alias("word"))
-    q = asked(w).select(F.col("vec_id").alias("q_id"), series.envelope(F.col("v"), LENGTH, 5).alias("env"))
-    pairs = against(q, w.select("vec_id", "word"))
-    return pairs.select("q_id", "vec_id", F.round(F.sqrt(series.dtw_mindist(F.col("env"), F.col("word"), SEGMENTS, LENGTH, CARDINALITY)), 6).alias("lb"))
+    """The words' bound of the warping distance. What a pair needs of either series is made before they meet."""
+    w = kept(tables.walks(spark, sf_dir).select("vec_id", "v"), "walks")
+    cells = series.cell_borders(series.sax(F.col("v"), SEGMENTS, LENGTH, CARDINALITY), CARDINALITY)
+    means = series.envelope_means(series.envelope(F.col("v"), LENGTH, 5), SEGMENTS, LENGTH)
+    q = asked(w).select(F.col("vec_id").alias("q_id"), *[c.alias(n) for c, n in zip(means, ("top", "low"), strict=True)])
+    pairs = against(q, w.select("vec_id", *[c.alias(n) for c, n in zip(cells, ("cell_low", "cell_high"), strict=True)]))
+    gap = series.interval_gap(F.col("top"), F.col("low"), F.col("cell_low"), F.col("cell_high"), SEGMENTS, LENGTH)
+    return pairs.select("q_id", "vec_id", F.round(F.sqrt(gap), 6).alias("lb"))
 
 
 def _dtw_sql(k: int, band: int, where: str = "true") -> str:

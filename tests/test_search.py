@@ -188,6 +188,11 @@ def test_words_route_to_leaves_that_hold_them(walks, matrix):
     assert all(rows[0] == (q, 0.0) for q, rows in home.items())
 
 
+def test_pairs_of_the_warped_bound_make_nothing_anew(spark):
+    pairs = planned(plans.QUERIES["dtw_mindist"](spark, "/root/testdata/sf0.001")).split("BroadcastNestedLoopJoin")
+    assert len(pairs) == 2 and "lambda" not in pairs[0]
+
+
 def test_warped_search_agrees_with_brute_force(walks, matrix):
     for summary in (False, True):
         got = result(warping.dtw_join(walks, asked(walks), 3, 4, summary=summary))
