@@ -74,25 +74,36 @@ def lb_keogh(x: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", gap, gap)
 
 
-def dtw(x: np.ndarray, q: np.ndarray, band: int, bound: float = np.inf) -> np.ndarray:
-    """Squared time-warping cost of each row of x to q within a band; rows whose every path passes bound are given up and get infinity."""
+def dtw(x: np.ndarray, q: np.ndarray, band: int, bound: float | np.ndarray = np.inf, env: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Squared time-warping cost of each row of x to q within a band; costs over bound are infinity, and rows whose every path passes it are
+    given up. q and bound: one, or one for each row. env: the envelope of q, by which rows are given up for what the points to come must add."""
     m, n = x.shape
-    out = np.full(m, np.inf)
-    live = np.arange(m)
-    before = np.full((m, n + 1), np.inf)
-    before[:, 0] = 0
+    out, live = np.full(m, np.inf), np.arange(m)
+    limit = np.broadcast_to(np.asarray(bound, float), m)
+    a, b = np.ascontiguousarray(x.T), np.ascontiguousarray(np.broadcast_to(q, x.shape).T)  # a point of all rows lies together
+    rest = np.zeros((n + 1, m))  # what points i and after add at least
+    if env is not None:
+        upper, lower = (np.broadcast_to(e, x.shape).T for e in env)
+        gap = np.maximum(0, np.maximum(a - upper, lower - a))
+        rest[:n] = np.cumsum((gap * gap)[::-1], axis=0)[::-1]
+    before, now = np.full((n + 1, m), np.inf), np.full((n + 1, m), np.inf)
+    before[0] = 0
     for i in range(n):
         lo, hi = max(0, i - band), min(n, i + band + 1)
-        now = np.full((len(live), n + 1), np.inf)
-        cost = (q[i] - x[live, lo:hi]) ** 2
-        up = np.minimum(before[:, lo:hi], before[:, lo + 1 : hi + 1])
-        left = np.full(len(live), np.inf)
+        cost = (a[i] - b[lo:hi]) ** 2
+        up = np.minimum(before[lo:hi], before[lo + 1 : hi + 1])
+        left: float | np.ndarray = np.inf
         for j in range(hi - lo):
-            left = cost[:, j] + np.minimum(up[:, j], left)
-            now[:, lo + j + 1] = left
-        keep = now[:, lo + 1 : hi + 1].min(axis=1) <= bound
-        live, before = live[keep], now[keep]
-        if not len(live):
-            return out
-    out[live] = before[:, n]
+            left = np.add(cost[j], np.minimum(up[j], left, out=up[j]), out=now[lo + j + 1])
+        before[0] = np.inf
+        before, now = now, before  # a cell outside the band is never written before it is read
+        if i % 4 == 3 and i + 1 < n:
+            keep = before[lo + 1 : hi + 1].min(axis=0) + rest[i + 1] <= limit * (1 + 1e-12)
+            kept = np.count_nonzero(keep)
+            if not kept:
+                return out
+            if kept < 0.8 * len(live):
+                live, limit = live[keep], limit[keep]
+                a, b, rest, before, now = (y[:, keep] for y in (a, b, rest, before, now))
+    out[live] = np.where(before[n] <= limit, before[n], np.inf)
     return out

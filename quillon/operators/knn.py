@@ -159,13 +159,12 @@ def offer_near(best: list[Best], x: np.ndarray, ids: np.ndarray, qs: np.ndarray,
                 b.offer(arrays.squared_distances(x[near], qs[at + i]), ids[near])
 
 
-def scan(data: DataFrame, block: Queries, k: int, *, id_col: str, vector_col: str, summary: Summary | None = None, exclude_self: bool = False, radius: float | None = None, bounds: np.ndarray | None = None, distance=None, epsilon: float = 0.0, enough: float = 0.0) -> DataFrame:
+def scan(data: DataFrame, block: Queries, k: int, *, id_col: str, vector_col: str, summary: Summary | None = None, exclude_self: bool = False, radius: float | None = None, bounds: np.ndarray | None = None, offer=offer_near, epsilon: float = 0.0, enough: float = 0.0) -> DataFrame:
     """One pass over data for a block of queries: q_id, vec_id, d2, and for each task and query a row with vec_id null, d2 the rows compared and
     n the rows seen. radius: all rows nearer than that instead of k. bounds: what the k-th squared distance of each query can't pass.
-    distance: (x, q, bound) -> squared distances, if not Euclidean. epsilon: rows are ruled out by the k-th distance so far over 1 + epsilon
+    offer: as offer_near, for distances that aren't Euclidean. epsilon: rows are ruled out by the k-th distance so far over 1 + epsilon
     (squared). enough: a task looks no further for a query whose k-th squared distance is within (1 + epsilon) times that."""
     shared = data.sparkSession.sparkContext.broadcast((block, bounds))
-    measure = distance or (lambda x, q, bound: arrays.squared_distances(x, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in scanned(batches):
@@ -182,28 +181,25 @@ def scan(data: DataFrame, block: Queries, k: int, *, id_col: str, vector_col: st
                 continue
             seen += len(ids)
             held = summary.of(x) if summary else None
-            if distance is None and radius is None:
-                live = None
-                if summary or exclude_self:
-                    limits_now = np.array([b.limit(epsilon, enough) for b in best])
-                    live = np.ones((len(qs), len(ids)), bool) if not summary else lowers(summary, qs, held) <= limits_now[:, None] + 1e-9
-                    if exclude_self:
-                        live &= ids != q_ids[:, None]
-                compared += len(ids) if live is None else live.sum(axis=1)
-                offer_near(best, x, ids, qs, live)
+            if radius is None:
+                for at in range(0, len(qs), TILE):
+                    some, live = slice(at, at + TILE), None
+                    if summary or exclude_self:
+                        limits_now = np.array([b.limit(epsilon, enough) for b in best[some]])
+                        live = np.ones((len(limits_now), len(ids)), bool) if not summary else lowers(summary, qs[some], held) <= limits_now[:, None] + 1e-9
+                        if exclude_self:
+                            live &= ids != q_ids[some, None]
+                    compared[some] += len(ids) if live is None else live.sum(axis=1)
+                    offer(best[some], x, ids, qs[some], live)
                 continue
             for i, q in enumerate(qs):
-                limit = radius * radius if radius is not None else best[i].bound
-                live = np.flatnonzero(summary.lower(q, held) <= limit + 1e-9) if summary else np.arange(len(ids))
+                live = np.flatnonzero(summary.lower(q, held) <= radius * radius + 1e-9) if summary else np.arange(len(ids))
                 if exclude_self:
                     live = live[ids[live] != q_ids[i]]
                 compared[i] += len(live)
-                d = measure(x[live] if len(live) < len(ids) else x, q, limit)
-                if radius is not None:
-                    near = d < limit
-                    found.append(pd.DataFrame({"q_id": q_ids[i], "vec_id": ids[live[near]], "d2": d[near], "n": 0}))
-                else:
-                    best[i].offer(d, ids[live])
+                d = arrays.squared_distances(x[live] if len(live) < len(ids) else x, q)
+                near = d < radius * radius
+                found.append(pd.DataFrame({"q_id": q_ids[i], "vec_id": ids[live[near]], "d2": d[near], "n": 0}))
             if found:
                 yield pd.concat(found).astype({"vec_id": "Int64"})
                 found = []
@@ -243,12 +239,12 @@ def _union(parts: list[DataFrame], data: DataFrame) -> DataFrame:
     return out if out is not None else data.sparkSession.createDataFrame([], "q_id long, vec_id long, d2 double, n long")
 
 
-def candidates(data: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "v", q_id_col: str = "vec_id", q_vector_col: str = "v", summary: Summary | None = None, exclude_self: bool = False, seeded: bool = False, distance=None, epsilon: float = 0.0, enough: float = 0.0) -> DataFrame:
+def candidates(data: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "v", q_id_col: str = "vec_id", q_vector_col: str = "v", summary: Summary | None = None, exclude_self: bool = False, seeded: bool = False, epsilon: float = 0.0, enough: float = 0.0) -> DataFrame:
     """The tasks' rows of all query blocks."""
     parts = []
     for block in query_blocks(queries, q_id_col, q_vector_col):
         bounds = seeds(data, block, k, id_col=id_col, vector_col=vector_col, exclude_self=exclude_self) if seeded else None
-        parts.append(scan(data, block, k, id_col=id_col, vector_col=vector_col, summary=summary, exclude_self=exclude_self, bounds=bounds, distance=distance, epsilon=epsilon, enough=enough))
+        parts.append(scan(data, block, k, id_col=id_col, vector_col=vector_col, summary=summary, exclude_self=exclude_self, bounds=bounds, epsilon=epsilon, enough=enough))
     return _union(parts, data)
 
 
@@ -298,7 +294,7 @@ def vote(neighbours: DataFrame, labels: DataFrame, *, id_col: str = "vec_id", la
     return counts.withColumn("place", F.row_number().over(w)).where("place = 1").select("q_id", "label", "votes")
 
 
-def classify(data: DataFrame, queries: DataFrame, k: int, *, label_col: str = "label", exclude_self: bool = True, distance=None, summary: Summary | None = None) -> DataFrame:
+def classify(data: DataFrame, queries: DataFrame, k: int, *, label_col: str = "label", exclude_self: bool = True, summary: Summary | None = None) -> DataFrame:
     """Majority label of the k nearest."""
-    found = top(candidates(data, queries, k, exclude_self=exclude_self, distance=distance, summary=summary), k)
+    found = top(candidates(data, queries, k, exclude_self=exclude_self, summary=summary), k)
     return vote(found, data, label_col=label_col)

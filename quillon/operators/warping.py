@@ -1,4 +1,8 @@
-"""Nearest series under dynamic time warping within a band, behind a cascade of lower bounds."""
+"""Nearest series under dynamic time warping within a band, behind a cascade of lower bounds.
+
+Warping costs are at most the Euclidean ones, so the k-th Euclidean distance, found first, bounds the k-th cost of each query. What the symbols'
+and the envelope's bounds leave is compared by rising bound, a few rows of many queries at a time; each round brings the bounds down.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +10,47 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ..functions import arrays
-from . import knn
+from . import knn, tree
+
+#: Rows that a query is compared with in the first round; each after has four times as many.
+ROUND = 32
+#: Pairs that are compared at once.
+PAIRS = 8192
 
 
-def cascade(band: int):
-    """(x, q, bound) -> squared warping costs: the envelope's bound first, the recurrence for what it leaves."""
+def offering(band: int):
+    """As ``knn.offer_near``, by warping costs."""
 
-    def measure(x: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
-        out = np.full(len(x), np.inf)
-        upper, lower = arrays.envelope(q, band)
-        live = np.flatnonzero(arrays.lb_keogh(x, upper, lower) <= bound + 1e-9)
-        if len(live):
-            out[live] = arrays.dtw(x[live], q, band, bound + 1e-9)
-        return out
+    def offer(best: list[knn.Best], x: np.ndarray, ids: np.ndarray, qs: np.ndarray, live: np.ndarray | None = None) -> None:
+        upper, lower = (np.stack(e) for e in zip(*[arrays.envelope(q, band) for q in qs], strict=True))
+        waiting = []  # by query: rows by rising bound, and their bounds
+        for i, b in enumerate(best):
+            rows = np.arange(len(ids)) if live is None else np.flatnonzero(live[i])
+            low = arrays.lb_keogh(x[rows] if len(rows) < len(ids) else x, upper[i], lower[i])
+            near = np.flatnonzero(low <= b.bound + 1e-9)
+            near = near[np.argsort(low[near], kind="stable")]
+            waiting.append((rows[near], low[near]))
+        take = ROUND
+        while True:
+            taken = []
+            for i, (rows, low) in enumerate(waiting):
+                n = np.searchsorted(low, best[i].bound + 1e-9, side="right")
+                taken.append(rows[: min(n, take)])
+                waiting[i] = rows[take:n], low[take:n]
+            which, rows = np.repeat(np.arange(len(best)), [len(t) for t in taken]), np.concatenate(taken)
+            if not len(rows):
+                return
+            bounds, d = np.array([b.bound for b in best]) + 1e-9, np.zeros(len(rows))
+            for at in range(0, len(rows), PAIRS):
+                w, r = which[at : at + PAIRS], rows[at : at + PAIRS]
+                d[at : at + PAIRS] = arrays.dtw(x[r], qs[w], band, bounds[w], (upper[w], lower[w]))
+            ends = np.cumsum([len(t) for t in taken])
+            for b, mine, end in zip(best, taken, ends, strict=True):
+                near = np.isfinite(d[end - len(mine) : end])
+                b.offer(d[end - len(mine) : end][near], ids[mine[near]])
+            take *= 4
 
-    return measure
+    return offer
 
 
 class WarpedSaxSummary(knn.SaxSummary):
@@ -30,18 +60,29 @@ class WarpedSaxSummary(knn.SaxSummary):
         super().__init__(segments, cardinality)
         self.band = band
 
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(super().of(x).T, np.intp)  # a segment's symbols lie together
+
     def lower(self, q: np.ndarray, held: np.ndarray) -> np.ndarray:
         upper, lower = arrays.envelope(q, self.band)
         top, low = (arrays.paa(e[None], self.segments)[0] for e in (upper, lower))
         gaps = np.maximum(0, np.maximum(self.low - top[:, None], low[:, None] - self.high)) ** 2
-        return (len(q) // self.segments) * gaps[np.arange(self.segments), held].sum(axis=1)
+        return (len(q) // self.segments) * sum(g.take(s) for g, s in zip(gaps, held, strict=True))
+
+
+def candidates(data: DataFrame, queries: DataFrame, k: int, band: int, *, summary: bool = False, exclude_self: bool = False) -> DataFrame:
+    """The tasks' rows of all query blocks, as ``knn.candidates``."""
+    parts, columns = [], {"id_col": "vec_id", "vector_col": "v", "exclude_self": exclude_self}
+    for block in knn.query_blocks(queries, "vec_id", "v"):
+        bounds = tree.kth_distances(knn.scan(data, block, k, **columns).where("vec_id IS NOT NULL"), k, block[0])
+        parts.append(knn.scan(data, block, k, summary=WarpedSaxSummary(band) if summary else None, bounds=bounds, offer=offering(band), **columns))
+    return knn._union(parts, data)
 
 
 def dtw_join(data: DataFrame, queries: DataFrame, k: int, band: int, *, summary: bool = False, exclude_self: bool = False) -> DataFrame:
     """q_id, vec_id, rank, dist (root of the squared cost)."""
-    held = WarpedSaxSummary(band) if summary else None
-    return knn.top(knn.candidates(data, queries, k, summary=held, exclude_self=exclude_self, distance=cascade(band)), k)
+    return knn.top(candidates(data, queries, k, band, summary=summary, exclude_self=exclude_self), k)
 
 
 def dtw_classify(data: DataFrame, queries: DataFrame, k: int, band: int) -> DataFrame:
-    return knn.classify(data, queries, k, distance=cascade(band))
+    return knn.vote(knn.top(candidates(data, queries, k, band, exclude_self=True), k), data)

@@ -91,3 +91,14 @@ def test_warping_matches_the_recurrence(seed, band):
     bound = float(np.median(want))
     got = arrays.dtw(x, q, band, bound)
     assert all(g == pytest.approx(w) or (g == np.inf and w > bound) for g, w in zip(got, want, strict=True))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 6))
+def test_warping_of_pairs_each_with_its_bound(seed, band):
+    r = np.random.default_rng(seed)
+    x, q = r.standard_normal((9, 12)), r.standard_normal((9, 12))
+    want = np.array([arrays.dtw(x[[i]], q[i], band)[0] for i in range(9)])
+    env = tuple(np.stack(e) for e in zip(*[arrays.envelope(y, band) for y in q], strict=True))
+    most = want * r.choice([0.3, 0.9, 1.1, 3], 9)
+    assert np.array_equal(arrays.dtw(x, q, band, most, env), np.where(want <= most, want, np.inf))
