@@ -84,5 +84,5 @@ def dtw_join(data: DataFrame, queries: DataFrame, k: int, band: int, *, summary:
     return knn.top(candidates(data, queries, k, band, summary=summary, exclude_self=exclude_self), k)
 
 
-def dtw_classify(data: DataFrame, queries: DataFrame, k: int, band: int) -> DataFrame:
-    return knn.vote(knn.top(candidates(data, queries, k, band, exclude_self=True), k), data)
+def dtw_classify(data: DataFrame, queries: DataFrame, k: int, band: int, *, summary: bool = False) -> DataFrame:
+    return knn.vote(knn.top(candidates(data, queries, k, band, summary=summary, exclude_self=True), k), data)

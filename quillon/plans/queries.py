@@ -746,8 +746,8 @@ def dtw_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_dtw_sql(5, 5, "q_id <> vec_id") + _VOTE.format(k=5))
 def dtw_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = tables.walks(spark, sf_dir)
-    return warping.dtw_classify(w, asked(w), 5, 5)
+    w = kept(tables.walks(spark, sf_dir), "walks")
+    return warping.dtw_classify(w, asked(w), 5, 5, summary=True)
 
 
 @query(_knn_sql(W_, "w", 5))

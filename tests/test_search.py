@@ -214,6 +214,17 @@ def test_warped_search_compares_few_rows(matrix, monkeypatch):
         assert b.ids.tolist() == np.lexsort((ids, d))[:3].tolist() and (b.d == d[b.ids]).all()
 
 
+def test_warped_vote_is_that_of_brute_force(walks, matrix):
+    labelled = walks.withColumn("label", (F.col("vec_id") % 3).cast("int"))
+    got = {r["q_id"]: (r["label"], r["votes"]) for r in warping.dtw_classify(labelled, asked(labelled), 5, 4, summary=True).collect()}
+    for q in QUERIES:
+        d = arrays.dtw(matrix, matrix[q], 4)
+        labels = [int(i) % 3 for i in np.lexsort((np.arange(400), d)) if i != q][:5]
+        most = max(labels.count(x) for x in labels)
+        reached = {x: [i for i, y in enumerate(labels) if y == x][-1] for x in labels if labels.count(x) == most}
+        assert got[q] == (min(reached, key=reached.get), most)
+
+
 def rows(spark, data):
     return spark.createDataFrame([(i, [float(x) for x in v] if v is not None else None, label) for i, v, label in data], "vec_id long, v array<double>, label int")
 
