@@ -63,10 +63,10 @@ def spectrum(x: np.ndarray, coefficients: int) -> np.ndarray:
 
 
 def envelope(q: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Upper and lower extremes within band points."""
-    pad = np.pad(q, band, mode="edge")
-    view = np.lib.stride_tricks.sliding_window_view(pad, 2 * band + 1)
-    return view.max(axis=1), view.min(axis=1)
+    """Upper and lower extremes within band points, of a series or of each row."""
+    pad = np.pad(q, [(0, 0)] * (q.ndim - 1) + [(band, band)], mode="edge")
+    view = np.lib.stride_tricks.sliding_window_view(pad, 2 * band + 1, axis=-1)
+    return view.max(axis=-1), view.min(axis=-1)
 
 
 def lb_keogh(x: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:

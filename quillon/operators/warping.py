@@ -1,7 +1,8 @@
 """Nearest series under dynamic time warping within a band, behind a cascade of lower bounds.
 
 Warping costs are at most the Euclidean ones, so the k-th Euclidean distance, found first, bounds the k-th cost of each query. What the symbols'
-and the envelope's bounds leave is compared by rising bound, a few rows of many queries at a time; each round brings the bounds down.
+and the envelope's bounds leave is compared by rising bound, a few rows of many queries at a time; each round brings the bounds down. Pairs
+meet the bound by the row's envelope before they are compared.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from . import knn, tree
 
 #: Rows that a query is compared with in the first round; each after has four times as many.
 ROUND = 32
-#: Pairs that are compared at once.
-PAIRS = 8192
+#: Pairs that are compared at once, few enough for a cache.
+PAIRS = 4096
 
 
 def offering(band: int):
     """As ``knn.offer_near``, by warping costs."""
 
     def offer(best: list[knn.Best], x: np.ndarray, ids: np.ndarray, qs: np.ndarray, live: np.ndarray | None = None) -> None:
-        upper, lower = (np.stack(e) for e in zip(*[arrays.envelope(q, band) for q in qs], strict=True))
+        (upper, lower), (above, below) = arrays.envelope(qs, band), arrays.envelope(x, band)
         waiting = []  # by query: rows by rising bound, and their bounds
         for i, b in enumerate(best):
             rows = np.arange(len(ids)) if live is None else np.flatnonzero(live[i])
@@ -40,10 +41,12 @@ def offering(band: int):
             which, rows = np.repeat(np.arange(len(best)), [len(t) for t in taken]), np.concatenate(taken)
             if not len(rows):
                 return
-            bounds, d = np.array([b.bound for b in best]) + 1e-9, np.zeros(len(rows))
+            bounds, d = np.array([b.bound for b in best]) + 1e-9, np.full(len(rows), np.inf)
             for at in range(0, len(rows), PAIRS):
                 w, r = which[at : at + PAIRS], rows[at : at + PAIRS]
-                d[at : at + PAIRS] = arrays.dtw(x[r], qs[w], band, bounds[w], (upper[w], lower[w]))
+                near = np.flatnonzero(arrays.lb_keogh(qs[w], above[r], below[r]) <= bounds[w])
+                w, r = w[near], r[near]
+                d[at + near] = arrays.dtw(x[r], qs[w], band, bounds[w], (upper[w], lower[w]))
             ends = np.cumsum([len(t) for t in taken])
             for b, mine, end in zip(best, taken, ends, strict=True):
                 near = np.isfinite(d[end - len(mine) : end])
