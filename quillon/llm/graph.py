@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, shared_dir
+from .common import shared_dir
 
+#: The edges of a node are dealt into at most so many parts, which meet its least neighbour apart from each other.
+PARTS = 1024
 
-def _with_least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """(u, m): for each node the least of itself and its neighbours, and edges with that m of their u. Sums are partial before the shuffle;
-    hubs, nodes with more than one in HOT of all edges, are broadcast, a proven bound, and so fill no task of the join."""
-    per = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    hub = F.col("n") * HOT > total
-    hubs = per.where(hub).select("u", "m")
-    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(per.where(~hub).select("u", "m"), "u")
-    return per.select("u", "m"), edges.join(F.broadcast(hubs), "u").unionByName(rest)
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): edges with the least m of their u and its neighbours. edges: u, v and part, from 0 to PARTS - 1. The least comes from sums
+    that are partial before the shuffle and goes to each part that the node has, so a hub fills no task. Nothing is broadcast: each
+    broadcast would take memory of the driver, in every round."""
+    per = edges.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("part").alias("parts"))
+    least = per.select("u", F.explode("parts").alias("part"), F.least("u", "m").alias("m"))
+    return edges.join(least.hint("merge"), ["u", "part"]).select("u", "v", "m")
+
+
+def _part(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(PARTS)).cast("int").alias("part")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,11 +40,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     now, sign = checked(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while sign[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * sign[0])[1].where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        m, met = _with_least(large, 2 * sign[0])
-        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
-        after, to = checked(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        both = now.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        large = _with_least(both.select("u", "v", _part("v"))).where("v > u")
+        # Neighbours of one node may bring it the same edge: each brings a part of its own.
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"), _part("u"))
+        small = _with_least(large).select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+        after, to = checked(small.where("u <> v").distinct())
         if to == sign:
             break
         now, sign = after, to

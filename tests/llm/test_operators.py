@@ -198,6 +198,24 @@ def test_components_of_a_path_a_star_and_repeats(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
 
 
+def test_components_of_hubs_broadcast_nothing(spark):
+    r = random.Random(5)
+    edges = [(0, i) for i in range(1, 700)] + [(i, 2000) for i in range(1000, 1500)] + [(r.randrange(3000), r.randrange(3000)) for _ in range(400)]
+    bus, store = spark._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def plans():
+        bus.waitUntilEmpty()
+        seen = store.executionsList()
+        return {x.executionId(): x.physicalPlanDescription() for x in map(seen.apply, range(seen.size()))}
+
+    before = plans()
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    roots = plain_roots(3000, edges)
+    assert got == {i: roots[i] for e in edges if e[0] != e[1] for i in e}
+    ran = [plan for k, plan in plans().items() if k not in before]
+    assert any("SortMergeJoin" in plan for plan in ran) and not any("Broadcast" in plan for plan in ran)
+
+
 def test_tries_match_brute_force_and_prune():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 62, 3000, dtype=np.uint64) * np.uint64(4) + r.integers(0, 4, 3000, dtype=np.uint64)
