@@ -210,7 +210,8 @@ def sigmoid32(x: np.ndarray) -> np.ndarray:
 def train(rows: list[tuple[str | None, int]], s: Settings) -> Network:
     """rows: texts and labels. Adam with a falling rate."""
     net = Network.fresh(s)
-    texts = [words_of(t) for t, _ in rows] + [[]]
+    one: dict[bytes, bytes] = {}  # equal words are held once
+    texts = [[one.setdefault(w, w) for w in words_of(t)] for t, _ in rows] + [[]]
     y = np.array([label for _, label in rows] + [0], np.float32)
     r = np.random.default_rng(s.seed)
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0

@@ -887,6 +887,13 @@ def test_few_labels_and_rare_languages_are_learned(spark):
     assert langid.quotas({"a": 5, "b": 3}, 6000) == {"a": 5, "b": 3} and langid.quotas({}, 6000) == {}
 
 
+def test_training_holds_equal_words_once(monkeypatch):
+    held, plain = {}, toxicity.Network.logits
+    monkeypatch.setattr(toxicity.Network, "logits", lambda net, texts: held.update((id(w), w) for t in texts for w in t) or plain(net, texts))
+    toxicity.train([("stone river stone barn", 0), ("river barn field", 1)] * 8, toxicity.Settings(epochs=1))
+    assert sorted(held.values()) == [b"barn", b"field", b"river", b"stone"]
+
+
 def test_training_samples_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
     docs = frame(spark, [(i, prose(i, 30)) for i in range(60)] + [(60, "long " * 5000)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, toxic int")
